@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, sharding, url_filter
+from . import decontaminate, language_id, mixing, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
     "op6_mixing": mixing.op6_mixing,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_language_id": language_id.op8_language_id,
+    "op10_quality": quality.op10_quality,
 }
 SQL = {"op2_url_filter": url_filter.SQL, "op3_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL}
