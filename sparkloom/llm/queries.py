@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, mixing, quality, sharding, substring_dedup, url_filter
+from . import decontaminate, language_id, mixing, ngram_join, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_language_id": language_id.op8_language_id,
+    "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality": quality.op10_quality,
 }
 SQL = {"op2_url_filter": url_filter.SQL, "op3_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL}
