@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import kernel, linking
 from .common import release, saved, ship, table
-from .substring_dedup import bucket_count, keyed
+from .substring_dedup import FIRST_ID, bucket_count, keyed
 
 GRAM, NUM, DEN = 4, 85, 100
 BUCKET_BYTES = 80_000_000
@@ -165,8 +165,11 @@ def trie_join(payloads: list[bytes], num: int, den: int) -> list[int]:
 SETS = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("is_null", pa.bool_()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("first", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
-def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id, tag, n_shingles and component_id, the least id of those it is linked with by any chain."""
+def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN, id_col: str = "doc_id", names: bool = False) -> DataFrame:
+    """Per row: id, n_shingles and component_id, the least id of those it is linked with by any chain.
+
+    With ``names``: per row id and tag as ``keyed`` gives them, and whether it is its class's first (``stays``).
+    """
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs, id_col)
@@ -201,16 +204,18 @@ def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN,
     items = kept.select("node", "payload").dropDuplicates(["node"])
     tokens = kept.select("node", F.explode("first").alias("token"))
     links = saved(linking.link(items, tokens, lambda payloads: trie_join(payloads, num, den)), "roots")
-    named = kept.groupBy("node").agg(F.min("id").alias("least")).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select(F.col("node").alias("c_node"), "component")
-    out = found.select("id", "tag", "is_null", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left").withColumn("component", F.coalesce("component", "id"))
-    real = lambda c: F.when(F.col(c) != F.lit(-(1 << 63)), F.col(c))
-    return out.select(F.when(~F.col("is_null"), F.col("id")).alias(id_col), "tag", "n_shingles", real("component").alias("component_id"))
+    named = kept.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("least")).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("first"))
+    named = named.join(least, "root").select(F.col("node").alias("c_node"), F.col("first").alias("class"))
+    out = found.select("id", "tag", "is_null", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("class", F.struct("id", "tag")))
+    if names:
+        return out.select("id", "tag", (F.col("class") == F.struct("id", "tag")).alias("stays"))
+    first = F.col("class.id")
+    return out.select(F.when(~F.col("is_null"), F.col("id")).alias(id_col), "n_shingles", F.when(first != F.lit(FIRST_ID), first).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(table(spark, sf_dir, "documents")).drop("tag")
+    return near_classes(table(spark, sf_dir, "documents"))
 
 
 def brute_force(rows: list[tuple[int, str | None]], n: int = GRAM, num: int = NUM, den: int = DEN) -> list[tuple[int, int, int]]:

@@ -135,12 +135,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int =
     return {"idf": idf, "to": to, "near": unit(x @ to), "label": label, "weight": weight / weight.mean()}
 
 
-def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), neighbours: int = NEIGHBOURS) -> DataFrame:
-    """Every row with its score."""
+def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), neighbours: int = NEIGHBOURS, name: str = "score") -> DataFrame:
+    """Every row with its score, in a column called ``name``."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # bounded by sample x rank and WIDTH x rank
-    out = docs.select(*keep).schema.add("score", "double")
+    out = docs.select(*keep).schema.add(name, "double")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
@@ -153,7 +153,7 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), nei
                 best = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 vote = np.maximum(np.take_along_axis(near, best, axis=1), 1e-3).astype(float) ** 4 * m["weight"][best]
                 found = (vote * m["label"][best]).sum(axis=1) / vote.sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.clip(found, 0.0, 1.0))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(np.clip(found, 0.0, 1.0))], names=[*keep, name])
 
     columns = dict.fromkeys([*keep, "text"])
     return docs.select(*columns).mapInArrow(judge, out)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, language_id, mixing, ngram_join, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
@@ -13,5 +15,6 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_ngram_join": ngram_join.op9_ngram_join,
     "op10_quality": quality.op10_quality,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op2_url_filter": url_filter.SQL, "op3_decontamination": decontaminate.SQL, "op6_mixing": mixing.SQL}
