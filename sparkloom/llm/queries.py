@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, mixing, ngram_join, quality, sharding, substring_dedup, url_filter
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, url_filter
 
 QUERIES = {
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_language_id": language_id.op8_language_id,
