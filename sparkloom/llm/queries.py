@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, url_filter
+from . import decontaminate, language_id, line_dedup, mixing, ngram_join, quality, sharding, substring_dedup, topk_search, url_filter
 
 QUERIES = {
+    "op1_topk_search": topk_search.op1_topk_search,
     "op2_url_filter": url_filter.op2_url_filter,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_sharding": sharding.op4_sharding,
