@@ -1,0 +1 @@
+"""Column functions: missing values, texts, coded fields, metrics and statistics."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import reports
+from ..session import query
+from . import cohort, ledgers, pairing, parsing, reports
 
-QUERIES = {**reports.QUERIES}
-SQL = {**reports.SQL}
+_parts = (reports, pairing, cohort, ledgers, parsing)
+QUERIES = {k: query(v) for p in _parts for k, v in p.QUERIES.items()}
+SQL = {k: v for p in _parts for k, v in p.SQL.items()}
