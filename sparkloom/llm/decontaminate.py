@@ -127,7 +127,7 @@ def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM,
         met = met.withColumn("here", F.when(F.col("pos") >= 0, _around("words", F.col("pos"), size, reach))).drop("words")
     else:
         salt = F.pmod(F.xxhash64("id"), F.lit(64))
-        found = seen.drop("words").withColumn("salt", salt).join(marks.select("i_hash", "i_short", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("bigint").alias("i_salt")).distinct(), same & (F.col("salt") == F.col("i_salt")), "left").where("pos < 0 or i_hash is not null").select("id", "row_key", "n_words", "hash", "pos", "short")
+        found = seen.drop("words").withColumn("salt", salt).join(marks.select("i_hash", "i_short", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("i_salt")).distinct(), same & (F.col("salt") == F.col("i_salt")), "left").where("pos < 0 or i_hash is not null").select("id", "row_key", "n_words", "hash", "pos", "short")
         found = saved(found, "found")
         texts = rows.select(F.col("id").alias("id2"), F.col("row_key").alias("row2"), "words").dropDuplicates(["id2", "row2"])
         near = found.where("pos >= 0").distinct().join(texts, F.col("id").eqNullSafe(F.col("id2")) & F.col("row_key").eqNullSafe(F.col("row2"))).withColumn("here", _around("words", F.col("pos"), size, reach)).drop("words", "id2", "row2")

@@ -125,7 +125,9 @@ def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], keep: tuple[st
     ship(docs.sparkSession)
     langs = list(profiles)
     known = np.array(sorted({g for p in profiles.values() for g in p}), np.uint64)
-    ranks = np.array([[p.get(int(g), most) for g in known] + [most] for p in profiles.values()], np.int64).reshape(len(langs), -1)
+    ranks = np.full((len(langs), len(known) + 1), most, np.int64)
+    for k, p in enumerate(profiles.values()):
+        ranks[k, : len(known)] = [p.get(int(g), most) for g in known]
     schema = docs.select(*keep).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
