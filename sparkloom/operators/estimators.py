@@ -159,39 +159,40 @@ def ctmc(panel: DataFrame, starts: Sequence[Sequence[float]] = STARTS, steps: in
 
         return sums(data, part)
 
-    best: tuple[float, np.ndarray] | None = None
-    h = 1e-4
-    for start in starts:
-        x = np.clip(np.log(start), LOW, HIGH)
-        value = None
-        for _ in range(steps):
-            eye = np.eye(4) * h
-            pts = [x, *(x + e for e in eye), *(x - e for e in eye), *(x + eye[i] + eye[j] for i in range(4) for j in range(i + 1, 4))]
-            f = values(np.array(pts))
-            if not len(f):
-                f = np.zeros(len(pts))
-            value = f[0]
-            grad = (f[1:5] - f[5:9]) / (2 * h)
-            hess = np.diag((f[1:5] + f[5:9] - 2 * f[0]) / h**2)
-            for k, (i, j) in enumerate((i, j) for i in range(4) for j in range(i + 1, 4)):
-                hess[i, j] = hess[j, i] = (f[9 + k] - f[1 + i] - f[1 + j] + f[0]) / h**2
-            free = ~((x <= LOW + 1e-12) & (grad < 0) | (x >= HIGH - 1e-12) & (grad > 0))
-            if not free.any():
-                break
-            w, v = np.linalg.eigh(-hess[np.ix_(free, free)])
+    h, eye = 1e-4, np.eye(4) * 1e-4
+    above = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    xs = np.clip(np.log(np.array(starts, float)), LOW, HIGH)
+    value, live = np.full(len(xs), -np.inf), np.ones(len(xs), bool)
+    for _ in range(steps):  # all starts move in the same passes
+        on = np.flatnonzero(live)
+        if not len(on):
+            break
+        stencil = np.array([[x, *(x + e for e in eye), *(x - e for e in eye), *(x + eye[i] + eye[j] for i, j in above)] for x in xs[on]])
+        f = values(stencil.reshape(-1, 4))
+        f = f.reshape(len(on), -1) if len(f) else np.zeros(stencil.shape[:2])
+        moves = np.zeros((len(on), 12, 4))
+        for k, o in enumerate(on):
+            x, g = xs[o], (f[k, 1:5] - f[k, 5:9]) / (2 * h)
+            value[o] = f[k, 0]
+            hess = np.diag((f[k, 1:5] + f[k, 5:9] - 2 * f[k, 0]) / h**2)
+            for m, (i, j) in enumerate(above):
+                hess[i, j] = hess[j, i] = (f[k, 9 + m] - f[k, 1 + i] - f[k, 1 + j] + f[k, 0]) / h**2
+            free = ~((x <= LOW + 1e-12) & (g < 0) | (x >= HIGH - 1e-12) & (g > 0))
             step = np.zeros(4)
-            step[free] = v @ ((v.T @ grad[free]) / np.maximum(np.abs(w), 1e-6))
-            sizes = 2.0 ** -np.arange(12)
-            tries = np.clip(x + sizes[:, None] * np.clip(step, -2, 2), LOW, HIGH)
-            g = values(tries)
-            k = int(np.argmax(g)) if len(g) else 0
-            if not len(g) or g[k] <= value + 1e-9 * max(1, abs(value)):
-                break
-            x, value = tries[k], g[k]
-        if value is not None and (best is None or value > best[0]):
-            best = (float(value), x)
+            if free.any():
+                w, v = np.linalg.eigh(-hess[np.ix_(free, free)])
+                step[free] = v @ ((v.T @ g[free]) / np.maximum(np.abs(w), 1e-6))
+            moves[k] = np.clip(x + 2.0 ** -np.arange(12)[:, None] * np.clip(step, -2, 2), LOW, HIGH)
+        got = values(moves.reshape(-1, 4))
+        got = got.reshape(len(on), 12) if len(got) else np.zeros((len(on), 12))
+        for k, o in enumerate(on):
+            m = int(np.argmax(got[k]))
+            if got[k, m] <= value[o] + 1e-8 * max(1, abs(value[o])):
+                live[o] = False
+            else:
+                xs[o], value[o] = moves[k, m], got[k, m]
     data.unpersist()
-    value, x = best if best else (0.0, np.log(starts[0]))
+    x, value = xs[int(np.argmax(value))], float(value.max())
     rates = np.exp(x)
     names = ("r12", "r13", "r21", "r23")
     return panel.sparkSession.createDataFrame([(n, float(r), bool(r <= 1.01e-6 or r >= 1.999), value) for n, r in zip(names, rates, strict=True)], "rate string, estimate double, at_bound boolean, loglik double")
