@@ -6,7 +6,7 @@ sums of byte x BASE^place modulo 2^64 and then mixed, so no word becomes a Pytho
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,8 +14,8 @@ import pyarrow as pa
 
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
-#: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own).
-SLICE_BYTES = 2_000_000
+#: Texts are worked on in slices of about this many bytes (a longer text is a slice of its own) and at most so many texts.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 1000
 SPACES = b" \t\n\x0b\x0c\r"
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
@@ -94,7 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
         k = 0
         while k < len(texts):
-            to = max(k + 1, int(np.searchsorted(at, at[k] + SLICE_BYTES, "right")) - 1)
+            to = min(max(k + 1, int(np.searchsorted(at, at[k] + SLICE_BYTES, "right")) - 1), k + SLICE_ROWS)
             yield batch.slice(k, to - k), Texts(data[at[k] : at[to]], at[k : to + 1] - at[k])
             k = to
 
@@ -171,5 +171,61 @@ def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     return np.repeat(ids, counts), np.repeat(tags, counts), keys, place
 
 
+#: What buckets send back to texts: one row a bucket and destination. a and b: values of each entry.
+REPLY = "dest int, ids binary, tags binary, counts binary, a binary, b binary"
+REPLY_ARROW = pa.schema([("dest", pa.int32()), *[(x, pa.binary()) for x in ("ids", "tags", "counts", "a", "b")]])
+GATHERED = "id bigint, tag int, a binary, b binary"
+GATHERED_ARROW = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+
+
+def _cuts(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
+    """Where runs of equal (id, tag) begin, and the end."""
+    new = np.append(True, (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))[: len(ids)]
+    return np.append(np.flatnonzero(new), len(ids))
+
+
+def reply(ids: np.ndarray, tags: np.ndarray, a: np.ndarray, b: np.ndarray | None, dests: int) -> pa.Table:
+    """Entries packed by the texts' destination, so that rows follow buckets and destinations and not texts."""
+    dest = (mix(ids.view(U64)) % U64(dests)).astype(np.int64)
+    order = np.lexsort((tags, ids, dest))
+    ids, tags, a, dest = ids[order], tags[order], a[order], dest[order]
+    b = b[order] if b is not None else None
+    ends = np.searchsorted(dest, np.arange(dests + 1))
+    rows = []
+    for d in np.flatnonzero(np.diff(ends)):
+        lo, hi = ends[d], ends[d + 1]
+        cut = _cuts(ids[lo:hi], tags[lo:hi])
+        rows.append({"dest": int(d), "ids": ids[lo:hi][cut[:-1]].tobytes(), "tags": tags[lo:hi][cut[:-1]].tobytes(), "counts": np.diff(cut).astype(np.uint32).tobytes(), "a": _small(a[lo:hi]), "b": _small(b[lo:hi]) if b is not None else b""})
+    return pa.Table.from_pylist(rows, schema=REPLY_ARROW)
+
+
+def _small(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), codec="zstd", asbytes=True)
+
+
+def gather(a_kind: str, b_kind: str | None = None, squeeze: Callable[[np.ndarray], np.ndarray] | None = None) -> Callable[[pa.Table], pa.Table]:
+    """For groups of replies by dest: one row a text with all its values; ``squeeze`` may shorten a text's a."""
+
+    def merge(rows: pa.Table) -> pa.Table:
+        get = lambda name, kind: np.frombuffer(b"".join(x.as_py() for c in rows.column(name).chunks for x in c), kind)
+        counts = get("counts", np.uint32)
+        ids, tags = np.repeat(get("ids", np.int64), counts), np.repeat(get("tags", np.int32), counts)
+        sizes = [len(x.as_py()) // 4 for c in rows.column("counts").chunks for x in c]
+        sizes = [int(n.sum()) for n in np.split(counts, np.cumsum(sizes)[:-1])]
+
+        def values(name: str, kind: str) -> np.ndarray:
+            packed = (x.as_py() for c in rows.column(name).chunks for x in c)
+            return np.frombuffer(b"".join(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True) for x, n in zip(packed, sizes, strict=True)), kind)
+
+        a, b = values("a", a_kind), values("b", b_kind) if b_kind else None
+        order = np.lexsort((tags, ids))
+        ids, tags, a = ids[order], tags[order], a[order]
+        cut = _cuts(ids, tags)
+        parts = lambda x, f=None: pa.array([(f(x[i:j]) if f else x[i:j]).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        return pa.table([pa.array(ids[cut[:-1]]), pa.array(tags[cut[:-1]]), parts(a, squeeze), parts(b[order]) if b is not None else pa.nulls(len(cut) - 1, pa.binary())], schema=GATHERED_ARROW)
+
+    return merge
+
+
 def to_batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)

@@ -104,7 +104,7 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     return bool(state[edits] >> (len(a) - len(b) + edits) & 1)
 
 
-def edit_join(payloads: list[bytes], edits: int, least: int) -> list[int]:
+def edit_join(payloads: list[bytes], edits: int, least: int, asks: list[bool] | None = None) -> list[int]:
     """For each line, the index of the first of its class of near lines. Compares lines that share a key and are not connected yet."""
     ends = np.cumsum([len(p) for p in payloads])
     starts = ends - np.array([len(p) for p in payloads])
@@ -119,7 +119,7 @@ def edit_join(payloads: list[bytes], edits: int, least: int) -> list[int]:
         own = list(dict.fromkeys(of[lo:hi].tolist()))
         for x, a in enumerate(own):
             for b in own[:x]:
-                if (a, b) not in seen and parts.find(a) != parts.find(b):
+                if (asks is None or asks[a] or asks[b]) and (a, b) not in seen and parts.find(a) != parts.find(b):
                     seen.add((a, b))
                     if within(payloads[a], payloads[b], edits):
                         parts.union(a, b)
@@ -207,7 +207,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, id_
     texts = _with_texts(rows, wanted).where("lines is not null").select("text", "lines").mapInArrow(take, "node bigint, payload binary, tokens array<bigint>")
     items = saved(texts.dropDuplicates(["node"]), "items")
     release(spark)
-    roots = linking.link(items.select("node", "payload"), items.select(F.explode("tokens").alias("token"), "node"), lambda payloads: edit_join(payloads, edits, least))
+    roots = linking.link(items.select("node", "payload"), items.select(F.explode("tokens").alias("token"), "node"), lambda payloads, asks: edit_join(payloads, edits, least, asks))
     near = roots.join(firsts, F.col("node") == F.col("h")).select("node", "root", "first")
     lead = near.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("m")).where("m > 1")
     near = saved(near.join(lead, "root").select(F.col("node").alias("n_h"), "lead"), "near-lines")

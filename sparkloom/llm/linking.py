@@ -3,9 +3,9 @@
 Items that share a token may be linked. The tokens' groups are connected into candidate classes
 (one star of edges a token, so their number follows the tokens and not the pairs), every item's
 payload goes to its class once, and there ``join`` finds the true links. A class of more than
-``LARGE`` items is dealt into blocks: each block is joined with a few common pivots, then the
-items outside the largest linked part are joined, block by block, with all blocks. So every two
-items of a class have been compared or are connected, and no task holds a whole class.
+``LARGE`` items or ``LARGE_BYTES`` is dealt into blocks: each block is joined with a few common
+pivots, then the items outside the largest linked part ask, block by block, all blocks. So every
+two items of a class have been compared or are connected, and no task holds a whole class.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-LARGE, PIVOTS = 1000, 24
+LARGE, LARGE_BYTES, ASKING, PIVOTS = 3000, 6_000_000, 1000, 24
 #: Bytes of payload in one task.
 BIN_BYTES = 12_000_000
 
-Join = Callable[[list[bytes]], list[int]]
+#: Payloads, and which of them ask (all where that is None) -> for each payload the index of its part's first.
+Join = Callable[[list[bytes], list[bool] | None], list[int]]
 
 
 class Sets:
@@ -85,10 +86,11 @@ def _joined(join: Join) -> Callable[[pa.Table], pa.Table]:
         comp, node = rows.column("comp").to_numpy(), rows.column("node").to_numpy()
         order = np.lexsort((node, comp))
         comp, node, payload = comp[order], node[order], rows.column("payload").take(pa.array(order))
+        asks = rows.column("asks").to_numpy()[order] if "asks" in rows.column_names else None
         src, dst = [], []
         cuts = np.append(np.flatnonzero(np.append(True, comp[1:] != comp[:-1])), len(comp))
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            for k, up in enumerate(join([x.as_py() for x in payload.slice(a, b - a)])):
+            for k, up in enumerate(join([x.as_py() for x in payload.slice(a, b - a)], asks[a:b].tolist() if asks is not None else None)):
                 src.append(node[a + k])
                 dst.append(node[a + up])
         return pa.table([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
@@ -107,16 +109,18 @@ def link(items: DataFrame, tokens: DataFrame, join: Join) -> DataFrame:
     """
     out = "src bigint, dst bigint"
     comps = candidates(tokens)
-    members = saved(items.join(comps, "node"), "members")
-    sizes = members.groupBy("comp").agg(F.count("*").alias("size"))
-    large = saved(sizes.where(F.col("size") > LARGE), "large")
-    total = members.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
+    sizes = comps.join(items.select("node", F.octet_length("payload").alias("bytes")), "node").groupBy("comp").agg(F.count("*").alias("size"), F.sum("bytes").alias("bytes"))
+    sizes = sizes.withColumn("blocks", F.ceil(F.greatest(F.col("size") / LARGE, F.col("bytes") / LARGE_BYTES)).cast("int"))
+    large = saved(sizes.where((F.col("blocks") > 1) & (F.col("size") > 2)), "large")
+    members = items.join(comps, "node")
+    total = items.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
     parts = int(max(1, total // BIN_BYTES, int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    small = members.join(large.select("comp"), "comp", "left_anti").withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(4 * parts)))
+    small = members if large.isEmpty() else members.join(large.select("comp"), "comp", "left_anti")
+    small = small.withColumn("bin", F.pmod(F.xxhash64("comp"), F.lit(4 * parts)))
     links = small.groupBy("bin").applyInArrow(_joined(join), out)
     if large.isEmpty():
         return links.select(F.col("src").alias("node"), F.col("dst").alias("root"))
-    own = members.join(large, "comp").withColumn("blocks", F.ceil(F.col("size") / LARGE).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    own = saved(members.join(large, "comp"), "large-members").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pivots = own.where(F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < PIVOTS).withColumn("block", _upto("blocks"))
     columns = ["comp", "block", "node", "payload"]
     first = own.select(*columns).unionByName(pivots.select(*columns)).dropDuplicates(["comp", "block", "node"])
@@ -125,12 +129,12 @@ def link(items: DataFrame, tokens: DataFrame, join: Join) -> DataFrame:
     marked = saved(own.select("comp", "node", "block", "blocks").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
     main = marked.groupBy("comp", "root").count().groupBy("comp").agg(F.max(F.struct("count", "root"))["root"].alias("main"))
     rest = saved(marked.join(main, "comp").where("root <> main").select("comp", "node", "blocks"), "rest")
-    counts = saved(rest.groupBy("comp").agg(F.ceil(2 * F.count("*") / LARGE).cast("int").alias("parts")), "rest-sizes")
+    counts = saved(rest.groupBy("comp", "blocks").agg(F.count("*").alias("n")).join(large.select("comp", "size"), "comp").select("comp", F.ceil(F.greatest(F.col("n") / ASKING, F.col("blocks") * F.col("n") / F.col("size"))).cast("int").alias("parts")), "rest-sizes")
     rest = rest.join(counts, "comp").withColumn("part", F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")))
-    ask = rest.join(members.select("node", "payload"), "node").withColumn("block", _upto("blocks"))
+    ask = rest.join(own.select("node", "payload"), "node").withColumn("block", _upto("blocks"))
     told = own.join(counts, "comp").withColumn("part", _upto("parts"))
-    columns = ["comp", "block", "part", "node", "payload"]
-    second = ask.select(*columns).unionByName(told.select(*columns)).dropDuplicates(["comp", "block", "part", "node"])
+    columns = ["comp", "block", "part", "node", "payload", "asks"]
+    second = ask.withColumn("asks", F.lit(True)).select(*columns).unionByName(told.withColumn("asks", F.lit(False)).select(*columns))
     more = second.groupBy("comp", "block", "part").applyInArrow(_joined(join), out)
     roots = components(saved(edges.unionByName(more), "links"))
     alone = own.select("node").join(roots.select("node"), "node", "left_anti").select("node", F.col("node").alias("root"))
