@@ -36,7 +36,6 @@ WINDOW = 20
 BUCKET_BYTES = 24_000_000
 FIRST_ID = -(1 << 63)
 
-PLACES = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("places", pa.binary())])
 KEPT = pa.schema([("id", pa.int64()), ("is_null", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
 
@@ -51,8 +50,14 @@ def bucket_count(docs: DataFrame, each: int, text: str = "text") -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
+def _runs(places: np.ndarray) -> np.ndarray:
+    places = np.sort(places)
+    brk = np.flatnonzero(np.diff(places) > 1)
+    return np.column_stack([places[np.append(0, brk + 1)], places[np.append(brk, len(places) - 1)]]).ravel()
+
+
 def repeated_places(rows: DataFrame, window: int, buckets: int) -> DataFrame:
-    """(id, tag, places): places, as packed int32, of windows that are not the first of their kind; several rows per text."""
+    """(id, tag, places): first and last place, as packed int32 pairs, of each run of windows that are not the first of their kind."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in kernel.slices(batches):
@@ -76,14 +81,12 @@ def repeated_places(rows: DataFrame, window: int, buckets: int) -> DataFrame:
         head = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
         as_head = (ids[own] == ids[own[head]]) & (tags[own] == tags[own[head]]) & (place[own] == place[own[head]]) if len(own) else new
         gone = own[~new & ~twice & ~as_head]
-        gone = gone[np.lexsort((tags[gone], ids[gone]))]
-        cut = np.flatnonzero(np.append(True, (ids[gone][1:] != ids[gone][:-1]) | (tags[gone][1:] != tags[gone][:-1]))[: len(gone)])
-        at = place[gone].astype(np.int32)
-        ends = np.append(cut[1:], len(gone)) if len(cut) else cut
-        return pa.table([pa.array(ids[gone][cut]), pa.array(tags[gone][cut]), pa.array([at[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], schema=PLACES)
+        return kernel.reply(ids[gone], tags[gone], place[gone].astype(np.int32), None, buckets)
 
     packed = rows.select("id", "tag", "text").mapInArrow(emit, kernel.PACKED)
-    return packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, "id bigint, tag int, places binary")
+    found = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, kernel.REPLY)
+    found = found.repartition(buckets, "dest").groupBy("dest").applyInArrow(kernel.gather("int32", squeeze=_runs), kernel.GATHERED)
+    return found.select("id", "tag", F.col("a").alias("places"))
 
 
 def cut_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -> DataFrame:
@@ -92,7 +95,6 @@ def cut_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -
     rows = keyed(docs, id_col)
     places = saved(repeated_places(rows, window, bucket_count(docs, BUCKET_BYTES)), "repeats")
     release(docs.sparkSession)  # the keys' shuffle files
-    places = places.groupBy("id", "tag").agg(F.collect_list("places").alias("places"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in kernel.slices(batches):
@@ -102,10 +104,10 @@ def cut_windows(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id") -
                 parts = texts.bytes_of(k).split()
                 n_words[k] = len(parts)
                 if found:
-                    at = np.frombuffer(b"".join(found), np.int32)
+                    runs = np.frombuffer(found, np.int32).reshape(-1, 2)
                     depth = np.zeros(len(parts) + 1, np.int64)
-                    np.add.at(depth, at, 1)
-                    np.add.at(depth, at + window, -1)
+                    np.add.at(depth, runs[:, 0], 1)
+                    np.add.at(depth, runs[:, 1] + window, -1)
                     stay = np.flatnonzero(np.cumsum(depth)[:-1] == 0)
                     n_removed[k] = len(parts) - len(stay)
                     parts = [parts[i] for i in stay]
