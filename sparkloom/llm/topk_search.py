@@ -1,13 +1,12 @@
-"""Operator 1: exact top-k search by BM25 with block-max WAND, per shard, merged exactly.
+"""Operator 1: exact top-k search by BM25 over inverted lists, per shard, merged exactly.
 
 Terms are runs of digits, letters and bytes beyond ASCII, A-Z lower-cased, named by a 64-bit hash.
-A query is a row; it asks for its ``TERMS`` terms of the highest tf x idf over its whole text
-(ties by hash; ``terms=None`` asks for all). Document frequencies, the number of rows and their
-mean length are counted over all rows, so that every shard scores alike; each shard (at most
-about ``SHARD_BYTES`` of text) holds postings in order of id with the largest contribution of
-each ``BLOCK`` postings, and its k best are found by block-max WAND: the pivot is the first
-document whose lists' bounds add up to the k-th score; if its blocks' bounds do not, all
-lists skip to the end of the nearest block. The shards' k best are merged into the k best of all.
+A query is a row; the registered query asks for all terms of its whole text (``n_terms`` may
+shorten it to those of the highest tf x idf, ties by hash). Document frequencies, the number of
+rows and their mean length are counted over all rows, so that every shard scores alike; each
+shard (at most about ``SHARD_BYTES`` of text) holds, term by term, postings in order of id with
+their contributions; a query adds up its terms' lists over the shard's rows and takes the k best.
+The shards' k best are merged into the k best of all.
 
 Queries go in blocks of about ``QUERY_BYTES`` of text, whose terms are broadcast; each block is
 run against all rows.
@@ -20,8 +19,7 @@ row asks once; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +31,7 @@ from .common import saved, ship, table
 from .substring_dedup import FIRST_ID
 
 K, TERMS, K1, B = 10, 16, 1.2, 0.75
-BLOCK, SHARD_BYTES, QUERY_BYTES = 64, 32_000_000, 16_000_000
-SLACK = 1e-9
+SHARD_BYTES, QUERY_BYTES = 32_000_000, 16_000_000
 _plain = np.full(256, 32, np.uint8)
 for _c in range(256):
     if _c >= 128 or chr(_c).isalnum():
@@ -87,67 +84,25 @@ def frequencies(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 class Shard:
-    """Inverted index of one shard for the wanted terms: postings in order of place, contributions and their block maxima."""
+    """Inverted index of one shard for the wanted terms: postings in order of place, and their contributions."""
 
     def __init__(self, place: np.ndarray, term: np.ndarray, score: np.ndarray, n_terms: int) -> None:
         order = np.lexsort((place, term))
         self.place, self.score = place[order], score[order]
         self.at = np.searchsorted(term[order], np.arange(n_terms + 1))
+        self.total = np.zeros(int(place.max()) + 1 if len(place) else 0)
 
-    def search(self, query: list[int], k: int) -> list[tuple[float, int]]:
-        """The k best (score, place), equal scores by place."""
-        lists = []
-        for t in query:
-            lo, hi = int(self.at[t]), int(self.at[t + 1])
+    def search(self, query: Sequence[int], k: int) -> list[tuple[float, int]]:
+        """The k best (score, place), equal scores by place. Contributions are added in order of ``query``."""
+        self.total[:] = 0
+        for lo, hi in zip(self.at[query].tolist(), self.at[np.asarray(query) + 1].tolist(), strict=True):
             if hi > lo:
-                score = self.score[lo:hi]
-                tops = np.maximum.reduceat(score, np.arange(0, hi - lo, BLOCK))
-                lists.append([self.place[lo:hi].tolist(), score.tolist(), tops.tolist(), float(tops.max()), 0, self.place[lo:hi]])
-        best: list[tuple[float, int]] = []
-        least = -1.0
-        active = list(range(len(lists)))
-        while active:
-            active.sort(key=lambda i: lists[i][0][lists[i][4]])
-            bound, pivot = 0.0, -1
-            for n, i in enumerate(active):
-                bound += lists[i][3]
-                if bound >= least - SLACK:
-                    pivot = n
-                    break
-            if pivot < 0:
-                break
-            doc = lists[active[pivot]][0][lists[active[pivot]][4]]
-            while pivot + 1 < len(active) and lists[active[pivot + 1]][0][lists[active[pivot + 1]][4]] == doc:
-                pivot += 1
-            block, to = 0.0, None
-            for i in active[: pivot + 1]:  # the blocks where doc would stand
-                one = lists[i]
-                at = one[4] if one[0][one[4]] >= doc else one[4] + int(np.searchsorted(one[5][one[4] :], doc))
-                if at < len(one[0]):
-                    block += one[2][at // BLOCK]
-                    end = one[0][min((at // BLOCK + 1) * BLOCK, len(one[0])) - 1] + 1
-                    to = end if to is None else min(to, end)
-            if block < least - SLACK:
-                if pivot + 1 < len(active):
-                    to = min(to, lists[active[pivot + 1]][0][lists[active[pivot + 1]][4]])
-                doc = max(to, doc + 1)
-            elif lists[active[0]][0][lists[active[0]][4]] == doc:
-                total = 0.0
-                for i in sorted(active[: pivot + 1]):
-                    one = lists[i]
-                    total += one[1][one[4]]
-                if len(best) < k:
-                    heapq.heappush(best, (total, -doc))
-                elif (total, -doc) > best[0]:
-                    heapq.heapreplace(best, (total, -doc))
-                least = best[0][0] if len(best) == k else -1.0
-                doc += 1
-            for i in active[: pivot + 1]:  # all of them go on to doc at least
-                one = lists[i]
-                if one[0][one[4]] < doc:
-                    one[4] += int(np.searchsorted(one[5][one[4] :], doc))
-            active = [i for i in active if lists[i][4] < len(lists[i][0])]
-        return sorted(((s, -d) for s, d in best), key=lambda x: (-x[0], x[1]))
+                self.total[self.place[lo:hi]] += self.score[lo:hi]  # a place is in a list once
+        n = len(self.total)
+        least = np.partition(self.total, n - k)[n - k] if n > k else 0.0
+        best = np.flatnonzero((self.total >= least) & (self.total > 0))
+        best = best[np.lexsort((best, -self.total[best]))[:k]]
+        return list(zip(self.total[best].tolist(), best.tolist(), strict=True))
 
 
 def search(docs: DataFrame, is_query: Column, k: int = K, n_terms: int | None = TERMS) -> DataFrame:
@@ -183,16 +138,16 @@ def _search_block(rows: DataFrame, queries: DataFrame, k: int, n_terms: int | No
     if n_terms is not None:
         rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(F.col("tf") * F.col("idf")), "term"))
         chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= n_terms)
-    asked = chosen.select("qid", "k", "idf").toArrow().sort_by([("qid", "ascending"), ("k", "ascending")])  # TERMS a query of the block
+    asked = chosen.select("qid", "k", "idf").toArrow().sort_by([("qid", "ascending"), ("k", "ascending")])  # bounded by QUERY_BYTES
     qid, term, weight = (asked.column(c).to_numpy() for c in ("qid", "k", "idf"))
     used, term = np.unique(term, return_inverse=True)
     weights = np.zeros(len(used))
     weights[term] = weight
     cuts = np.append(np.flatnonzero(np.append(True, qid[1:] != qid[:-1])), len(qid))
-    sent = spark.sparkContext.broadcast((wanted[used], weights, qid[cuts[:-1]], [term[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], words / n))
+    sent = spark.sparkContext.broadcast((wanted[used], weights, qid[cuts[:-1]], term.astype(np.int32), cuts, words / n))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want, idf, ids, asks, mean = sent.value
+        want, idf, ids, asked, cuts, mean = sent.value
         posts: list[tuple[np.ndarray, ...]] = []
         seen: list[np.ndarray] = []
         held = 0
@@ -201,14 +156,14 @@ def _search_block(rows: DataFrame, queries: DataFrame, k: int, n_terms: int | No
             base = np.cumsum([0, *(len(s) for s in seen)])
             every = np.concatenate(seen)
             by_id = np.argsort(every, kind="stable")
-            place_of = np.empty(len(every), np.int64)
+            place_of = np.empty(len(every), np.int32)
             place_of[by_id] = np.arange(len(every))
             place = np.concatenate([place_of[p[0] + b] for p, b in zip(posts, base[:-1], strict=True)])
             t, tf, size = (np.concatenate([p[i] for p in posts]) for i in (1, 2, 3))
             shard = Shard(place, t, idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / max(mean, 1e-9))), len(want))
             q, d, s = [], [], []
-            for i, query in zip(ids, asks, strict=True):
-                for score, at in shard.search(query, k):
+            for i, a, b in zip(ids, cuts[:-1], cuts[1:], strict=True):
+                for score, at in shard.search(asked[a:b], k):
                     q.append(i)
                     d.append(every[by_id[at]])
                     s.append(score)
@@ -220,7 +175,7 @@ def _search_block(rows: DataFrame, queries: DataFrame, k: int, n_terms: int | No
             at = np.minimum(np.searchsorted(want, term), len(want) - 1)
             own = want[at] == term
             text, at, tf = _counted(text[own], at[own])
-            posts.append((text, at, tf, size[text]))
+            posts.append(tuple(x.astype(np.int32) for x in (text, at, tf, size[text])))
             seen.append(batch.column("id").to_numpy())
             held += len(texts.data)
             if held >= SHARD_BYTES:
@@ -233,7 +188,7 @@ def _search_block(rows: DataFrame, queries: DataFrame, k: int, n_terms: int | No
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0)
+    return search(table(spark, sf_dir, "documents"), F.col("doc_id") % 100 == 0, n_terms=None)
 
 
 def brute_force(rows: list[tuple[int, str | None]], k: int = K, n_terms: int | None = TERMS) -> list[tuple[int, int, int, float]]:

@@ -287,6 +287,16 @@ def test_search_skips_exactly():
     assert [(round(-s, 6), d) for s, d in shard.search(list(range(terms)), 10)] == [(round(s, 6), d) for s, d in want]
 
 
+def test_search_registered_asks_all_terms(spark, tmp_path):
+    rare = " ".join(f"rare{k} rare{k}" for k in range(20))
+    rows = [(100, f"{rare} common"), (1, "common here"), (2, rare), *((k, f"other{k}") for k in range(3, 8))]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = topk_search.op1_topk_search(spark, str(tmp_path)).orderBy("rank").collect()
+    want = topk_search.brute_force(rows, n_terms=None)
+    assert [(r.rank, r.doc_id) for r in got] == [(r, i) for _, r, i, _ in want] == [(1, 100), (2, 2), (3, 1)]
+    assert np.allclose([r.score for r in got], [s for *_, s in want])
+
+
 def test_search_empty(spark):
     assert topk_search.search(spark.createDataFrame([], SCHEMA), F.lit(True)).count() == 0
 
