@@ -1,11 +1,13 @@
 """Operator 4: sharding by vector bin packing over bytes, tokens and rows.
 
-Rows of equal text form a group and stay together, unless the group alone is larger than a
-small part (1 / ``PARTS``) of a shard in some dimension: then its rows are dealt by doc_id into
-chunks of about that size. Of all other groups those that fall into one of PARTS cells per shard
-(by hash of the text) are placed as one parcel. So the driver places at most PARTS parcels per
-shard and, as each large group holds a set part of a total, no more than 3 x PARTS x shards
-large groups and their chunks: a number that does not grow with the rows. The largest parcel
+Rows of equal text form a group and stay together, unless the group alone is larger than ``HOT``
+of a shard in some dimension. Groups above 1 / ``PARTS`` of a shard are dealt by doc_id into chunks
+of about that size, so that no task ranks a whole large group; the chunks of a group that is not
+hot are placed as one parcel, those of a hot group each on its own. Of all other groups those that
+fall into one of PARTS cells per shard (by hash of the text) are placed as one parcel. So the
+driver holds at most PARTS cells per shard and, as each large group holds a set part of a total,
+no more than 3 x PARTS x shards large groups and their chunks: a number that does not grow with
+the rows. The largest parcel
 goes first, each to the shard where the dot product of its shares with the shard's residual
 capacity is highest. The law is ``bytes``: shards are near equal in bytes.
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import WORD, saved, table
 
 SHARDS, PARTS, ROW_BYTES = 24, 64, 8
+#: Groups of equal text up to this part of a shard stay whole; with larger parcels a shard could no longer be filled evenly.
+HOT = 0.5
 DIMS = ("size", "tokens", "rows")
 
 
@@ -45,6 +49,20 @@ def pack(loads: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def place(parcels: Sequence[tuple[int | None, int]], loads: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each (group, part); all parts of a group of at most ``HOT`` of a shard go to the same one."""
+    groups: dict[int | None, np.ndarray] = {}
+    for (group, _), load in zip(parcels, loads, strict=True):
+        groups[group] = groups.get(group, 0) + load
+    most = HOT * loads.sum(axis=0) / shards
+    whole = {g for g, load in groups.items() if g is not None and (load <= most).all()}
+    units: dict[tuple, int] = {}
+    unit = np.array([units.setdefault((g, None if g in whole else part), len(units)) for g, part in parcels], dtype=np.int64)
+    sums = np.zeros((len(units), loads.shape[1]))
+    np.add.at(sums, unit, loads)
+    return pack(sums, shards)[unit]
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, keep: Sequence[str] = ("doc_id",), tokens: Column | None = None) -> DataFrame:
     """Every row with size, text_crc32, shard and slot. ``keep`` names the columns to carry along."""
     spark = docs.sparkSession
@@ -66,7 +84,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, keep: Seque
     placed = slim.join(F.broadcast(large), "group", "left").withColumn("part", F.when(F.col("chunks").isNull(), F.pmod("group", F.lit(cells))).otherwise(F.pmod(F.xxhash64("s_id", "group"), F.col("chunks"))).cast("int"))
     placed = placed.withColumn("parcel", F.when(F.col("chunks").isNull(), F.struct(F.lit(None).cast("bigint").alias("group"), "part")).otherwise(F.struct("group", "part")))
     loads = placed.groupBy("parcel").agg(*[F.sum(d).alias(d) for d in DIMS]).orderBy("parcel").collect()
-    to = pack(np.array([[r[d] for d in DIMS] for r in loads], dtype=float).reshape(-1, len(DIMS)), shards)
+    to = place([(r["parcel"]["group"], r["parcel"]["part"]) for r in loads], np.array([[r[d] for d in DIMS] for r in loads], dtype=float).reshape(-1, len(DIMS)), shards)
     first, plan = [0] * shards, []
     for r, s in zip(loads, map(int, to), strict=True):
         plan.append((r["parcel"]["group"], r["parcel"]["part"], s, first[s]))

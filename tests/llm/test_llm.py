@@ -115,6 +115,15 @@ def test_shards(spark):
     assert sharding.shard(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_shards_keep_groups_whole(spark):
+    rows = [(2 * i + k, f"pair {i}") for i in range(500) for k in (0, 1)] + [(2000 + i, f"text {i % 20} of seven or more") for i in range(200)] + [(5000 + i, "hot") for i in range(300)]
+    got = sharding.shard(spark.createDataFrame(rows, SCHEMA)).toPandas()
+    assert len(got) == len(rows) and (got.groupby("shard")["slot"].apply(sorted) == got.groupby("shard").size().map(lambda n: list(range(n)))).all()
+    hot = got["doc_id"] >= 5000
+    assert (got[~hot].groupby("text_crc32")["shard"].nunique() == 1).all() and got[hot]["shard"].nunique() > 1
+    assert got.groupby("shard").size().max() < 1.2 * len(rows) / 24
+
+
 # operator 5
 
 
