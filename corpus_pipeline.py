@@ -34,12 +34,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = ngram_join.near_classes(docs, GRAM, NUM, DEN, names=True)
     rows = saved(rows.groupBy("id", "tag").agg(F.count("*").alias("copies"), F.first("stays").alias("stays")).where("not stays or copies > 1"), "near")
     gone = rows.select(F.col("id").alias("g_id"), F.col("tag").alias("g_tag"))
-    left = _without(docs, gone, F.hash("text"))
+    left = _without(docs, gone, F.xxhash64("text"))
     twice = rows.where("stays").select(F.col("id").alias("g_id"), F.col("tag").alias("g_tag"))
     if twice.isEmpty():
         return left
-    same = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(FIRST_ID)).eqNullSafe(F.col("g_id")) & (F.hash("text") == F.col("g_tag"))
-    once = docs.join(twice, same, "left_semi").withColumn("_tag", F.hash("text")).dropDuplicates(["doc_id", "_tag"]).drop("_tag")
+    same = F.coalesce(docs["doc_id"].cast("bigint"), F.lit(FIRST_ID)).eqNullSafe(F.col("g_id")) & (F.xxhash64("text") == F.col("g_tag"))
+    once = docs.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"])
     return left.unionByName(once)
 
 

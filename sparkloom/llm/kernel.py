@@ -159,7 +159,7 @@ def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     """(id, tag, key, place) of every occurrence of a bucket; id and tag by text, with ``text`` folded in by repeat."""
     get = lambda name, kind: np.frombuffer(b"".join(x.as_py() for c in rows.column(name).chunks for x in c), kind)
     counts = get("counts", np.uint32)
-    ids, tags, keys = get("ids", np.int64), get("tags", np.int32), get("keys", U64)
+    ids, tags, keys = get("ids", np.int64), get("tags", np.int64), get("keys", U64)
     steps = get("steps", np.uint8).astype(np.int64)
     if len(steps):
         steps[steps == 255] = get("long_steps", np.uint32)
@@ -174,8 +174,8 @@ def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 #: What buckets send back to texts: one row a bucket and destination. a and b: values of each entry.
 REPLY = "dest int, ids binary, tags binary, counts binary, a binary, b binary"
 REPLY_ARROW = pa.schema([("dest", pa.int32()), *[(x, pa.binary()) for x in ("ids", "tags", "counts", "a", "b")]])
-GATHERED = "id bigint, tag int, a binary, b binary"
-GATHERED_ARROW = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
+GATHERED = "id bigint, tag bigint, a binary, b binary"
+GATHERED_ARROW = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("a", pa.binary()), ("b", pa.binary())])
 
 
 def _cuts(ids: np.ndarray, tags: np.ndarray) -> np.ndarray:
@@ -209,7 +209,7 @@ def gather(a_kind: str, b_kind: str | None = None, squeeze: Callable[[np.ndarray
     def merge(rows: pa.Table) -> pa.Table:
         get = lambda name, kind: np.frombuffer(b"".join(x.as_py() for c in rows.column(name).chunks for x in c), kind)
         counts = get("counts", np.uint32)
-        ids, tags = np.repeat(get("ids", np.int64), counts), np.repeat(get("tags", np.int32), counts)
+        ids, tags = np.repeat(get("ids", np.int64), counts), np.repeat(get("tags", np.int64), counts)
         sizes = [len(x.as_py()) // 4 for c in rows.column("counts").chunks for x in c]
         sizes = [int(n.sum()) for n in np.split(counts, np.cumsum(sizes)[:-1])]
 

@@ -135,7 +135,7 @@ def line_table(rows: DataFrame) -> DataFrame:
             h = kernel.Spans(texts.data).hashes(start, end)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(pa.array(text)), batch.column("tag").take(pa.array(text)), pa.array(number.astype(np.int32))], names=["h", "id", "tag", "line"])
 
-    return rows.select("id", "tag", "text").mapInArrow(emit, "h bigint, id bigint, tag int, line int")
+    return rows.select("id", "tag", "text").mapInArrow(emit, "h bigint, id bigint, tag bigint, line int")
 
 
 def probable(rows: DataFrame, edits: int, least: int, buckets: int) -> DataFrame:

@@ -214,7 +214,7 @@ def unpacked_sets(payloads: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
-SETS = pa.schema([("id", pa.int64()), ("tag", pa.int32()), ("is_null", pa.bool_()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("first", pa.list_(pa.int64())), ("payload", pa.binary())])
+SETS = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("is_null", pa.bool_()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("first", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN, id_col: str = "doc_id", names: bool = False) -> DataFrame:
@@ -251,7 +251,7 @@ def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN,
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), batch.column("is_null"), pa.array(size.astype(np.int64)), pa.array(node, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(payload, pa.binary())], schema=SETS)
 
     joined = rows.join(shared.withColumnsRenamed({"id": "s_id", "tag": "s_tag"}), (F.col("id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
-    found = saved(joined.select("id", "tag", "is_null", "text", "a", "b").mapInArrow(sets, "id bigint, tag int, is_null boolean, n_shingles bigint, node bigint, first array<bigint>, payload binary"), "sets")
+    found = saved(joined.select("id", "tag", "is_null", "text", "a", "b").mapInArrow(sets, "id bigint, tag bigint, is_null boolean, n_shingles bigint, node bigint, first array<bigint>, payload binary"), "sets")
     release(spark)
     kept = found.where("node is not null")
     items = kept.select("node", "payload").dropDuplicates(["node"])

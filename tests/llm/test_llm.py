@@ -313,6 +313,16 @@ def test_search_empty(spark):
 # pipeline and helpers
 
 
+def test_texts_of_one_hash_are_told_apart(spark):
+    import corpus_pipeline
+
+    made = spark.range(300_000).select(F.sha2(F.col("id").cast("string"), 256).alias("t"))
+    two = made.groupBy(F.hash("t")).agg(F.collect_list("t").alias("t")).where(F.size("t") > 1).orderBy(F.col("t")[0]).first()["t"][:2]
+    docs = odd(spark).limit(0).drop("size", "id", "words", "score").unionByName(spark.createDataFrame([(None, t, "en", "s", 64) for t in (*two, two[0])], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    assert sorted(r.text for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == sorted(two)
+    assert substring_dedup.keyed(spark.createDataFrame([(None, t) for t in two], SCHEMA)).select("tag").distinct().count() == 2
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
