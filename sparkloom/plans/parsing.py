@@ -79,7 +79,7 @@ def q_ctmc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of kappa between two readers."""
-    return estimators.kappa_bootstrap(_t(spark, sf_dir, "labels"), "quality", "toxic", 500, 1)
+    return estimators.kappa_bootstrap(_t(spark, sf_dir, "labels"), "quality", "toxic")
 
 
 QUERIES = {f.__name__: f for f in (q_enum_parse, q_metric_parse, q_dataset_family, q_section_map, q_json_props, q_title_norm, q_html_leaves, q_digest, q_logit, q_cox, q_ctmc, q_bootstrap)}

@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from sparkloom.operators import estimators
 from sparkloom.plans import registry
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -46,3 +47,9 @@ def test_matches_sql(spark, duck, name):
 def test_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).columns
     registry.QUERIES[name](spark, SF).collect()
+
+
+def test_bootstrap_draws(spark):
+    found = registry.QUERIES["q_bootstrap"](spark, SF).first()
+    assert 500 < found["valid"] <= 2000
+    assert found == estimators.kappa_bootstrap(spark.read.parquet(f"{SF}/labels.parquet"), "quality", "toxic").first()
