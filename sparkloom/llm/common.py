@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
+_tables: list[str] = []
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -27,22 +28,56 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset (tests) one is made."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, one is made on a single machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
         found = tempfile.mkdtemp(prefix="sparkloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor takes nothing along."""
+def saved(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage ends there, and a lost executor takes nothing along.
+
+    ``by`` names a column of few values to lay the files out by. The table is deleted when the
+    application ends, however it ends, or by ``Scratch``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    _tables.append(path)
+    _folder(spark, path)[0].deleteOnExit(_folder(spark, path)[1])
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) in the JVM."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+class Scratch:
+    """Deletes, at each ``clear`` and at the end, the tables saved within it, but for the last."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.since = spark, len(_tables)
+
+    def clear(self, keep: int = 1) -> None:
+        gone = _tables[self.since : len(_tables) - keep]
+        del _tables[self.since : len(_tables) - keep]
+        for path in gone:
+            system, where = _folder(self.spark, path)
+            system.delete(where, True)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        self.clear(0 if kind else 1)
+
+
 def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
