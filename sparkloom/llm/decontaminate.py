@@ -20,9 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER, saved, table
+from .common import BROADCAST_ROWS, LOWER, UPPER, few, saved, table
 
-SPAN, GRAM = 10, 5
+SPAN, GRAM, SALTS = 10, 5, 16
 #: ASCII characters that are neither digit nor letter; they separate words.
 GAPS = "".join(chr(c) for c in range(0x80) if not chr(c).isalnum())
 
@@ -61,9 +61,9 @@ def fingerprints(words: Column, span: int, gram: int = GRAM) -> Column:
     return _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: _let(_gram_hashes(h, gram), marks))
 
 
-def _around(words: str, pos: Column, gram: Column | int, reach: int) -> Column:
+def _around(words: str, pos: Column, gram: Column, reach: int) -> Column:
     """(left: words before, nearest first; mid; right: words after)."""
-    w, gram = F.col(words), F.lit(gram) if isinstance(gram, int) else gram
+    w = F.col(words)
     return F.struct(
         F.array(*[F.get(w, F.when(pos > k, pos - 1 - k)) for k in range(reach)]).alias("left"),
         F.slice(w, pos + 1, gram).alias("mid"),
@@ -105,41 +105,51 @@ def _short_hashes(lengths: list[int], words: Column) -> Column:
 def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM, id_col: str = "doc_id") -> DataFrame:
     """Per document (rows with equal id and text together): id, row_key, copies, n_words, runs (hit word intervals), items.
 
-    Items' marks are broadcast while they are at most ``BROADCAST_ROWS``. Beyond that the documents' bare
-    fingerprints are shuffled to them, salted by document, and the words around a match are read again.
+    Only hashes and places of the documents' fingerprints are exploded and met with the items' distinct
+    hashes: by broadcast while these are at most ``BROADCAST_ROWS`` (of 16 bytes), beyond that by a shuffle, salted
+    by document and place. The words around the places that met are read again, from those documents alone, and
+    taken out of the text in one row a document.
     """
     reach = span - gram
     marks = saved(item_marks(items, span, gram), "items")
     lengths = sorted(r[0] for r in marks.where("i_short > 0").select("i_short").distinct().collect())  # fewer than span
-    fits = marks.count() <= BROADCAST_ROWS
+    hashes = marks.select("i_hash", "i_short").distinct()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row_key"), words_of(F.col("text")).alias("words"))
-    rows = rows.withColumn("n_words", F.size("words"))
     keyed = F.transform(fingerprints(F.col("words"), span, gram), lambda m: F.struct(m["hash"].alias("hash"), m["pos"].alias("pos"), F.lit(0).alias("short")))
-    keyed = F.when(F.col("n_words") >= span, keyed).otherwise(F.array())
+    keyed = F.when(F.size("words") >= span, keyed).otherwise(F.array())
     if lengths:
         keyed = F.concat(keyed, _short_hashes(lengths, F.col("words")))
-    first = F.array(F.struct(F.lit(None).cast("bigint").alias("hash"), F.lit(-1).alias("pos"), F.lit(0).alias("short")))
-    seen = rows.select("id", "row_key", "words", "n_words", F.explode(F.concat(first, keyed)).alias("m")).select("id", "row_key", "words", "n_words", "m.hash", "m.pos", "m.short")
+    # under place -1, a mark for the document itself: its number of words
+    first = F.array(F.struct(F.lit(None).cast("bigint").alias("hash"), F.lit(-1).alias("pos"), F.size("words").alias("short")))
+    seen = rows.select("id", "row_key", F.explode(F.concat(first, keyed)).alias("m")).select("id", "row_key", "m.hash", "m.pos", "m.short")
     same = (F.col("hash") == F.col("i_hash")) & (F.col("short") == F.col("i_short"))
-    size = F.when(F.col("short") > 0, F.col("short")).otherwise(gram)
-    if fits:
-        met = seen.join(F.broadcast(marks), same, "left").where("pos < 0 or i_hash is not null")
-        met = met.withColumn("here", F.when(F.col("pos") >= 0, _around("words", F.col("pos"), size, reach))).drop("words")
+    if few(hashes, BROADCAST_ROWS):
+        found = seen.join(F.broadcast(hashes), same, "left")
     else:
-        salt = F.pmod(F.xxhash64("id"), F.lit(64))
-        found = seen.drop("words").withColumn("salt", salt).join(marks.select("i_hash", "i_short", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("i_salt")).distinct(), same & (F.col("salt") == F.col("i_salt")), "left").where("pos < 0 or i_hash is not null").select("id", "row_key", "n_words", "hash", "pos", "short")
-        found = saved(found, "found")
-        texts = rows.select(F.col("id").alias("id2"), F.col("row_key").alias("row2"), "words").dropDuplicates(["id2", "row2"])
-        near = found.where("pos >= 0").distinct().join(texts, F.col("id").eqNullSafe(F.col("id2")) & F.col("row_key").eqNullSafe(F.col("row2"))).withColumn("here", _around("words", F.col("pos"), size, reach)).drop("words", "id2", "row2")
-        met = near.join(marks, same).unionByName(found.where("pos < 0"), allowMissingColumns=True)
+        salt = F.pmod(F.xxhash64("id", "row_key", "pos"), F.lit(SALTS))
+        found = seen.withColumn("salt", salt).join(hashes.withColumn("i_salt", _salts()), same & (F.col("salt") == F.col("i_salt")), "left")
+    found = saved(found.where("pos < 0 or i_hash is not null").select("id", "row_key", "hash", "pos", "short"), "found")
+    places = found.where("pos >= 0").groupBy("id", "row_key").agg(F.collect_set(F.struct("hash", "pos", "short")).alias("places")).withColumnsRenamed({"id": "p_id", "row_key": "p_key"})
+    places = saved(places, "places")
+    mine = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("row_key") == F.col("p_key"))
+    size = lambda m: F.when(m["short"] > 0, m["short"]).otherwise(gram)
+    near = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row_key"), "text").join(places, mine).withColumn("words", words_of(F.col("text")))
+    near = near.select("id", "row_key", F.explode(F.transform("places", lambda m: F.struct(m["hash"].alias("hash"), m["pos"].alias("pos"), m["short"].alias("short"), _around("words", m["pos"], size(m), reach).alias("here")))).alias("m"))
+    near = near.select("id", "row_key", "m.*").withColumn("salt", F.pmod(F.xxhash64("id", "row_key", "pos"), F.lit(SALTS)))
+    met = near.join(marks.withColumn("i_salt", _salts()), same & (F.col("salt") == F.col("i_salt")))
     met = met.withColumn("l", F.when(F.col("short") > 0, 0).otherwise(_agree("here.left", "ctx.left", reach))).withColumn("r", F.when(F.col("short") > 0, 0).otherwise(_agree("here.right", "ctx.right", reach)))
-    true = (F.col("pos") >= 0) & (F.col("here.mid") == F.col("ctx.mid")) & ((F.col("short") > 0) | (F.col("l") + F.col("r") + gram >= span))
-    runs = F.when(true, F.struct((F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + size + F.col("r")).alias("hi")))
-    return met.groupBy("id", "row_key").agg(
-        F.count_if(F.col("pos") < 0).alias("copies"), F.max("n_words").alias("n_words"),
-        F.array_sort(F.collect_set(runs)).alias("runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(true, F.col("ids")))))).alias("items"),
-    )
+    true = (F.col("here.mid") == F.col("ctx.mid")) & ((F.col("short") > 0) | (F.col("l") + F.col("r") + gram >= span))
+    runs = F.struct((F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.when(F.col("short") > 0, F.col("short")).otherwise(gram) + F.col("r")).alias("hi"))
+    met = met.where(true).withColumn("run", runs)
+    met = met.groupBy("id", "row_key").agg(F.array_sort(F.collect_set("run")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("items"))
+    met = saved(met.withColumnsRenamed({"id": "p_id", "row_key": "p_key"}), "met")
+    every = found.where("pos < 0").groupBy("id", "row_key").agg(F.count("*").alias("copies"), F.max("short").alias("n_words"))
+    none = lambda like: F.coalesce(F.col(like), F.array().cast(met.schema[like].dataType))
+    return every.join(met, mine, "left").select("id", "row_key", "copies", "n_words", none("runs").alias("runs"), none("items").alias("items"))
+
+
+def _salts() -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
 
 
 def covered(runs: Column) -> Column:
