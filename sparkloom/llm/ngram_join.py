@@ -16,8 +16,9 @@ a thousand grams); equal sets are one node, named by a 64-bit hash of the set.
 
 Defined cases: null, empty or wordless texts have an empty set and stand alone; texts with fewer
 than n words have their whole sequence as one gram; rows that repeat id and text are one
-document and each comes back; a null id comes before all others in a class; an empty table
-gives no rows; other columns are not looked at.
+document and each comes back; rows without an id link like others but never name a class (one of
+such rows alone has no component_id); an empty table gives no rows; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernel, linking
 from .common import release, saved, ship, table
-from .substring_dedup import FIRST_ID, bucket_count, keyed
+from .substring_dedup import bucket_count, keyed
 
 GRAM, NUM, DEN = 4, 85, 100
 BUCKET_BYTES = 80_000_000
@@ -257,21 +258,21 @@ def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN,
     items = kept.select("node", "payload").dropDuplicates(["node"])
     tokens = kept.select("node", F.explode("first").alias("token"))
     links = saved(linking.link(items, tokens, lambda payloads, asks: trie_join(unpacked_sets(payloads, n), num, den, asks)), "roots")
-    named = kept.groupBy("node").agg(F.min(F.struct("id", "tag")).alias("least")).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    me = F.struct("is_null", "id", "tag")  # rows without an id come last
+    named = kept.groupBy("node").agg(F.min(me).alias("least")).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("first"))
     named = named.join(least, "root").select(F.col("node").alias("c_node"), F.col("first").alias("class"))
-    out = found.select("id", "tag", "is_null", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("class", F.struct("id", "tag")))
+    out = found.select("id", "tag", "is_null", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("class", me))
     if names:
-        return out.select("id", "tag", (F.col("class") == F.struct("id", "tag")).alias("stays"))
-    first = F.col("class.id")
-    return out.select(F.when(~F.col("is_null"), F.col("id")).alias(id_col), "n_shingles", F.when(first != F.lit(FIRST_ID), first).alias("component_id"))
+        return out.select("id", "tag", (F.col("class") == me).alias("stays"))
+    return out.select(F.when(~F.col("is_null"), F.col("id")).alias(id_col), "n_shingles", F.when(~F.col("class.is_null"), F.col("class.id")).alias("component_id"))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], n: int = GRAM, num: int = NUM, den: int = DEN) -> list[tuple[int, int, int]]:
+def brute_force(rows: list[tuple[int | None, str | None]], n: int = GRAM, num: int = NUM, den: int = DEN) -> list[tuple[int | None, int, int | None]]:
     """The same by comparing all pairs of word sets; for tests."""
     import re
 
@@ -283,12 +284,13 @@ def brute_force(rows: list[tuple[int, str | None]], n: int = GRAM, num: int = NU
     for k, s in enumerate(sets):
         for g in s:
             where.setdefault(g, []).append(k)
-    pairs = {(a, b) for v in where.values() if len(v) < 400 for a in v for b in v if a < b}
+    pairs = {(a, b) for v in where.values() for a in v for b in v if a < b}
     for a, b in pairs:
         if den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
             parts.union(a, b)
     least: dict[int, int] = {}
     for k, (i, _) in enumerate(rows):
         r = parts.find(k)
-        least[r] = min(least.get(r, i), i)
-    return [(i, len(sets[k]), least[parts.find(k)]) for k, (i, _) in enumerate(rows)]
+        if i is not None:
+            least[r] = min(least.get(r, i), i)
+    return [(i, len(sets[k]), least.get(parts.find(k))) for k, (i, _) in enumerate(rows)]
