@@ -212,6 +212,7 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, id_
     lead = near.groupBy("root").agg(F.min("first").alias("lead"), F.count("*").alias("m")).where("m > 1")
     near = saved(near.join(lead, "root").select(F.col("node").alias("n_h"), "lead"), "near-lines")
     places = firsts.join(near, F.col("h") == F.col("n_h"), "left").where("n > 1 or lead is not null").select("h", "first", F.coalesce("lead", "first").alias("lead"))
+    places = saved(places, "line-places")  # one row a line: Spark can split a very common line on the other side of the join
     gone = every.join(places, "h").where(F.struct("id", "tag", "line") != F.col("lead")).select("id", "tag", F.when(F.struct("id", "tag", "line") == F.col("first"), -1 - F.col("line")).otherwise(F.col("line")).alias("line"))
     gone = saved(gone, "gone")
 

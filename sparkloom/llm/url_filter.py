@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, LOWER, UPPER, ascii_lower, table
+from .common import BROADCAST_ROWS, LOWER, UPPER, ascii_lower, saved, table
 
 #: (verdict, host/path)
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
@@ -73,8 +73,11 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] | DataFrame,
     else:
         hits = found.select("digest", "short").distinct().join(rules, "short").where("digest = r_digest").groupBy("digest").agg(F.max("r_rank").alias("r_rank"))
         found = found.join(hits, "digest").select("host", "path", "r_rank")
-    best = found.groupBy("host", "path").agg(F.max("r_rank").alias("best"))
-    judged = parts.join(best, ["host", "path"], "left").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    # saved, so that Spark can split a host and path with very many pages on the other side of the join
+    best = saved(found.groupBy("host", "path").agg(F.max("r_rank").alias("best")).withColumn("salt", F.lit(0)), "best")
+    # pages without a host are judged by nothing: they are spread, not sent to one key
+    salt = F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 20)).cast("int") + 1).otherwise(0)
+    judged = parts.withColumn("salt", salt).join(best, ["host", "path", "salt"], "left").withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
     return judged.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
