@@ -7,9 +7,9 @@ rank in the document and in the profile, or PROFILE where the profile lacks it.
 language wins; the score is the runner-up's part of the two distances (1 with one language).
 
 Grams are taken from lower-cased letters, with a blank at the ends of each run of letters.
-Profiles are learned from about ``SAMPLE`` rows at most that have a language and are not held
-out (crc32 of the id as text, mod 4, is not 2), chosen by a hash of the id; predictions use
-the whole text and nothing but the text.
+Profiles are learned from ``SAMPLE`` different rows of each language at most, among those that are not
+held out (crc32 of the id as text, mod 4, is not 2), chosen by a hash of id and text: a language
+with few rows is learned from all of them. Predictions use the whole text and nothing but the text.
 
 Defined cases: null texts and those without a letter are ``und`` with score 0, as are all texts
 when nothing could be learned; equal distances go to the first language in order; equal counts
@@ -28,11 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import ship, table
+from .common import few, ship, table
 
-PROFILE, SAMPLE, GRAMS = 300, 8000, 3
+PROFILE, SAMPLE, GRAMS = 300, 2000, 3
 #: Grams are named by this many bits of a hash: a text's index, its counts and its grams then share one 64-bit number.
 BITS = 40
+SPREAD = 1 << 50
 _letters: list[np.ndarray] = []
 
 
@@ -40,6 +41,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def sampled(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each value of ``by``, of different hashes ``h``: those of the least hashes.
+
+    Rows are first held against a bound that lets about twice as many pass, so that few are ranked.
+    """
+    counts = rows.groupBy(by).agg(F.approx_count_distinct("h").alias("n")).select(F.col(by).alias("c_by"), F.least(F.lit(1.0), 2.5 * most / F.col("n")).alias("share"))
+    near = rows.join(F.broadcast(counts) if few(counts) else counts, F.col(by) == F.col("c_by")).where(F.pmod("h", F.lit(SPREAD)) <= F.col("share") * SPREAD)
+    near = near.drop("c_by", "share").dropDuplicates([by, "h"])
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.pmod("h", F.lit(SPREAD)), "h"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
+
+
 def is_letter(points: np.ndarray) -> np.ndarray:
     """Unicode letters among code points."""
     if not _letters:
@@ -94,9 +107,8 @@ def top(text: np.ndarray, gram: np.ndarray, count: np.ndarray, most: int) -> tup
 def learn(docs: DataFrame, sample: int = SAMPLE, profile: int = PROFILE) -> dict[str, dict[int, int]]:
     """language -> gram -> rank, from rows with a language that are not held out."""
     ship(docs.sparkSession)
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang", "text")
-    share = min(1.0, sample / max(rows.count(), 1))
-    rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = sampled(rows, "lang", sample).select("lang", "text")
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, dict[int, int]] = {}
@@ -154,6 +166,34 @@ def predict(docs: DataFrame, profiles: dict[str, dict[int, int]], keep: tuple[st
     return docs.select(*keep, "text").mapInArrow(judge, out)
 
 
+def brute_force(rows: list[tuple[str | None, str | None, bool]], sample: int = SAMPLE, profile: int = PROFILE) -> list[tuple[str, float]]:
+    """(lang_pred, score) of rows (text, lang, learns), by dictionaries of grams; for tests with fewer rows than ``sample``."""
+    from collections import Counter
+
+    def named(gram: str) -> int:
+        code = 0
+        for c in gram:
+            code = (code << 21 | (0 if c == " " else ord(c))) & (1 << 64) - 1
+        return int(kernel.mix(np.array([code], np.uint64) * np.uint64(4) + np.uint64(len(gram)))[0]) >> 64 - BITS
+
+    def bag(text: str) -> Counter:
+        runs = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+        line = " " + " ".join(runs) + " "
+        return Counter(g for n in range(1, GRAMS + 1) for i in range(len(line) - n + 1) for g in [line[i : i + n]] if (g.strip() if n < 3 else g[1] != " "))
+
+    order = lambda c: [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], named(x[0])))][:profile]
+    sums: dict[str, Counter] = {}
+    for text, lang in [(t, g) for t, g, learns in rows if learns and t is not None and g is not None]:
+        sums.setdefault(lang, Counter()).update(bag(text))
+    ranks = {g: {x: k for k, x in enumerate(order(c))} for g, c in sorted(sums.items()) if c}
+    out = []
+    for text, _, _ in rows:
+        own = order(bag(text or ""))
+        far = sorted((sum(abs(p[g] - k) if g in p else profile for k, g in enumerate(own)), n) for n, p in ranks.items())
+        out.append(("und", 0.0) if not own or not far else (far[0][1], far[1][0] / max(far[0][0] + far[1][0], 1e-9) if len(far) > 1 else 1.0))
+    return out
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = predict(docs.select("doc_id", "text"), learn(docs))

@@ -8,9 +8,9 @@ length 1; a truncated singular value decomposition of the labelled sample gives
 dimensions. The labelled vectors are broadcast, and every document is compared to all of them by
 blocked cosine products; the ``NEIGHBOURS`` nearest vote with weights similarity^4.
 
-The sample has about ``SAMPLE`` labelled rows at most of either label, none held out (crc32 of
-the id as text, mod 4, is not 2), chosen by a hash of the id, and each side counts
-by its share in all labelled rows.
+The sample has ``SAMPLE`` ids of either label at most, none held out (crc32 of the id as text, mod 4,
+is not 2), those of the least hashes; of texts that share an id the one with the least hash is
+taken. Each side counts by its share in all labelled rows.
 
 Defined cases: a null or empty text is scored from its length feature like any other; without
 labelled rows every score is 0.5; several labels of one id that differ count once each; a row
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .common import ship, table
-from .language_id import held_out
+from .language_id import held_out, sampled
 
 SAMPLE, RANK, NEIGHBOURS, THRESHOLD = 800, 64, 25, 0.7
 #: Width of the three bags.
@@ -112,18 +112,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int =
     ship(spark)
     own = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     counts = {r["quality"]: r["count"] for r in own.groupBy("quality").count().collect()}
-    cut = F.lit(0)
-    for q, n in counts.items():
-        cut = F.when(F.col("quality") == q, int(min(1.0, sample / n) * (1 << 20)) + 1).otherwise(cut)
-    own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < cut)  # about 2 x sample rows
+    own = sampled(own.withColumn("h", F.xxhash64("doc_id")), "quality", sample).drop("h")  # 2 x sample rows at most
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in kernel.slices(batches):
             x = features(texts).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality"), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    found = rows.mapInArrow(vectors, "doc_id bigint, quality int, x binary").orderBy("doc_id", "quality", "x").limit(8 * sample).collect()
+    found = rows.mapInArrow(vectors, "doc_id bigint, quality int, x binary").orderBy("doc_id", "quality").collect()
     idf = inverse_frequencies(docs)
     if not found:
         return {"idf": idf, "to": np.zeros((WIDTH, 1), np.float32), "near": np.zeros((0, 1), np.float32), "label": np.zeros(0), "weight": np.zeros(0)}
@@ -159,6 +157,45 @@ def score(docs: DataFrame, model: dict, keep: tuple[str, ...] = ("doc_id",), nei
     return docs.select(*columns).mapInArrow(judge, out)
 
 
+def plain_features(text: str | None) -> np.ndarray:
+    """What ``features`` gives for one text, byte by byte and word by word; for tests."""
+    data, out = (text or "").encode(), np.zeros(WIDTH, np.float32)
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        out[((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) & 0xFFFFFFFF) >> 22] += 1
+    kind = bytes(_classes()[b] for b in data)
+    shape = bytes(b for k, b in enumerate(kind) if not k or kind[k - 1] != b)
+    for run in (x for x in shape.split(b" ") if x):
+        raw = np.frombuffer(run, np.uint8)
+        out[BAGS[0] + (int(kernel.Spans(raw).hashes(np.array([0]), np.array([len(raw)]))[0]) >> 20) % BAGS[1]] += 1
+    words = data.split()
+    n, habits = len(words), out[BAGS[0] + BAGS[1] :]
+    habits[min(int(np.ceil(np.log2(1 + n))), 20)] = 1
+    habits[21 + (10 * sum(a == b for a, b in zip(words, words[1:], strict=False))) // max(n, 1)] = 4
+    habits[33 + (10 * (n - len(set(words)))) // max(n, 1)] = 1
+    return out
+
+
+def brute_force(texts: list[str | None], labelled: list[tuple[str | None, int]], rank: int = RANK, neighbours: int = NEIGHBOURS) -> list[float]:
+    """Scores of ``texts`` from ``labelled`` (text, label) by single vectors and sorted votes; for tests with fewer labels than ``SAMPLE``."""
+    every = [plain_features(t) for t in texts]
+    idf = np.array([np.log((1 + len(texts)) / (1 + sum(x[k] > 0 for x in every))) + 1 for k in range(WIDTH)])
+
+    def weighed(counts: np.ndarray) -> np.ndarray:
+        bags = np.split(np.log(1 + counts.astype(float)) * idf, np.cumsum(BAGS)[:-1])
+        return np.concatenate([b / max(np.sqrt((b * b).sum()), 1e-9) for b in bags])
+
+    known = np.stack([weighed(plain_features(t)) for t, _ in labelled])
+    to = np.linalg.svd(known, full_matrices=False)[2][:rank]
+    place = lambda x: (to @ x) / max(np.sqrt(((to @ x) ** 2).sum()), 1e-9)
+    near = [place(x) for x in known]
+    out = []
+    for x in every:
+        mine = place(weighed(x))
+        votes = sorted(((max(float(mine @ v), 1e-3), label) for v, (_, label) in zip(near, labelled, strict=True)), reverse=True)[:neighbours]
+        out.append(sum(s**4 for s, label in votes if label) / sum(s**4 for s, _ in votes))
+    return out
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs.select("doc_id", "text"), learn(docs, table(spark, sf_dir, "labels")))
