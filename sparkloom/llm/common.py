@@ -47,8 +47,11 @@ def saved(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     _tables.append(path)
-    _folder(spark, path)[0].deleteOnExit(_folder(spark, path)[1])
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    try:
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    finally:
+        system, where = _folder(spark, path)
+        system.deleteOnExit(where)  # only what exists can be marked
     return spark.read.schema(df.schema).parquet(path)
 
 
