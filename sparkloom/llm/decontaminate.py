@@ -133,7 +133,11 @@ def hits(docs: DataFrame, items: DataFrame, span: int = SPAN, gram: int = GRAM,
     places = saved(places, "places")
     mine = F.col("id").eqNullSafe(F.col("p_id")) & (F.col("row_key") == F.col("p_key"))
     size = lambda m: F.when(m["short"] > 0, m["short"]).otherwise(gram)
-    near = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row_key"), "text").join(places, mine).withColumn("words", words_of(F.col("text")))
+    # of the texts only those that met something are moved: their keys (16 bytes each) filter the documents first
+    keys = places.select("p_id", "p_key")
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64("text").alias("row_key"), "text")
+    texts = texts.join(F.broadcast(keys) if few(keys, BROADCAST_ROWS) else keys, mine, "left_semi")
+    near = texts.join(places, mine).withColumn("words", words_of(F.col("text")))
     near = near.select("id", "row_key", F.explode(F.transform("places", lambda m: F.struct(m["hash"].alias("hash"), m["pos"].alias("pos"), m["short"].alias("short"), _around("words", m["pos"], size(m), reach).alias("here")))).alias("m"))
     near = near.select("id", "row_key", "m.*").withColumn("salt", F.pmod(F.xxhash64("id", "row_key", "pos"), F.lit(SALTS)))
     met = near.join(marks.withColumn("i_salt", _salts()), same & (F.col("salt") == F.col("i_salt")))
