@@ -12,7 +12,7 @@ CATEGORIES = ("C1", "C2", "C3", "C4", "C5", "C6")
 TIER_THRESHOLDS = {"V1": 0.15, "V2": 0.08, "V3": 0.05, "V4": 0.03}
 DEFAULT_THRESHOLD = 0.08
 LONGITUDINAL = ("longitudinal_multipoint", "longitudinal_2point", "future_value_forecasting", "survival_analysis")
-UNITS = r"(?:stud(?:y|ies)|papers?|articles?|trials?|records?)"
+UNITS = r"(?:stud(?:y|ies)|papers?|articles?|publications?|trials?|rcts|records?|reviews|experts|datasets|cohorts)"
 
 
 def leading_code(col: Column, letters: str, digits: str = "1-6") -> Column:
@@ -45,7 +45,7 @@ def categories(col: Column, policy: str = "comma") -> Column:
     if policy == "codes":
         return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\bC[1-6]\b"), F.lit(0)))
     parts = F.split(text, "," if policy == "comma" else "/")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def sample_size(col: Column) -> Column:

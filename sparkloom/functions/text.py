@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ FURNITURE = r"(abstract|keywords?:?|ios|page|ageing|jpad|brain|key)$"
 NOISE = "�■□\u0000"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_text(col: Column) -> Column:
     return F.lower(F.trim(F.coalesce(col, F.lit(""))))
 
