@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ready
+
 
 def append_safe(disk: DataFrame, memory: DataFrame, key: str) -> DataFrame:
     """All rows on disk, and of those in memory the ones with new keys."""
@@ -62,8 +64,24 @@ def trail(entries: DataFrame, key: str, item: str, score: str, most: int = 25) -
     return best.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(score), item))).where(F.col("_k") <= most).drop("_k")
 
 
+def numbered(df: DataFrame, order: Sequence[str], name: str = "number") -> DataFrame:
+    """Rows numbered from 1 in ``order``: ranges of the order are counted and numbered each on its own, so that no task holds all rows."""
+    ready(df.sparkSession)
+    parts = df.orderBy(*order).withColumn("_part", F.spark_partition_id()).checkpoint()  # the ranges must not move
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))), "_part").withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_part", "_own", "_before")
+
+
 def next_ids(existing: DataFrame, new: DataFrame, column: str, prefix: str, order: Sequence[str]) -> DataFrame:
     """New rows numbered on from the highest number with the prefix, two digits at least."""
     top = existing.agg(F.coalesce(F.max(F.regexp_extract(column, f"^{prefix}(\\d+)$", 1).try_cast("int")), F.lit(0)).alias("top"))
-    n = F.row_number().over(Window.orderBy(*order))
-    return new.crossJoin(F.broadcast(top)).withColumn(column, F.format_string(prefix + "%02d", F.col("top") + n)).drop("top")
+    return numbered(new, order, "_number").join(F.broadcast(top)).withColumn(column, F.format_string(prefix + "%02d", F.col("top") + F.col("_number"))).drop("top", "_number")
+
+
+def edit_field(records: DataFrame, key: str, edits: DataFrame, column: str = "record") -> DataFrame:
+    """JSON records with some fields replaced and all others as they were. ``edits`` (key, field, value)."""
+    wide = edits.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("_e"))
+    old = F.from_json(column, "map<string,string>")
+    return records.join(wide, key, "left").withColumn(column, F.when(F.col("_e").isNull(), F.col(column)).otherwise(F.to_json(F.map_concat(F.map_filter(old, lambda k, v: ~F.map_contains_key("_e", k)), "_e")))).drop("_e")

@@ -90,7 +90,7 @@ def q_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_risk_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted risk-set sums by stratum at each time, ties together (time from the latest down)."""
-    l = _t(spark, sf_dir, "lineitem").where("l_quantity >= 45").select("l_returnflag", F.to_date("l_shipdate").alias("d"), "l_quantity")  # noqa: E741
+    l = _t(spark, sf_dir, "lineitem").select("l_returnflag", F.to_date("l_shipdate").alias("d"), "l_quantity")  # noqa: E741
     by = l.groupBy("l_returnflag", "d").agg(F.sum("l_quantity").alias("w"), F.count("*").alias("n"))
     w = Window.partitionBy("l_returnflag").orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return by.select("l_returnflag", "d", "n", F.round(F.sum("w").over(w), 4).alias("risk"))
@@ -142,6 +142,6 @@ w AS (SELECT *, lead(s0) OVER x AS s1, lead(d) OVER x AS d1, min(d) FILTER (s0 =
 SELECT (d1 - d)::BIGINT AS dt, s0, s1, count(*) AS n FROM w WHERE s1 IS NOT NULL AND (stop IS NULL OR d < stop) GROUP BY 1, 2, 3""",
     "q_baseline": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1",
     "q_risk_sums": """
-WITH b AS (SELECT l_returnflag, l_shipdate::DATE AS d, sum(l_quantity) AS w, count(*) AS n FROM lineitem WHERE l_quantity >= 45 GROUP BY 1, 2)
+WITH b AS (SELECT l_returnflag, l_shipdate::DATE AS d, sum(l_quantity) AS w, count(*) AS n FROM lineitem GROUP BY 1, 2)
 SELECT l_returnflag, d, n, round(sum(w) OVER (PARTITION BY l_returnflag ORDER BY d DESC), 4) AS risk FROM b""",
 }

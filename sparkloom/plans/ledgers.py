@@ -27,7 +27,7 @@ def q_repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _t(spark, sf_dir, "part")
     lead = p.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("original"))
     pairs = p.join(lead, ["p_name", "p_brand"]).where("p_partkey <> original").select(F.col("p_partkey").alias("dup"), "original")
-    refs = _t(spark, sf_dir, "lineitem").where("l_quantity >= 40").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    refs = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
     out = merge.repoint(refs, "l_orderkey", "parts", pairs)
     return out.select("l_orderkey", F.array_join("parts", ",").alias("parts"))
 
@@ -65,8 +65,8 @@ def q_missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _t(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("k"))
-    s = _t(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+    band = lambda p: (F.col(f"{p}_nationkey") * 1000 + F.floor(F.col(f"{p}_acctbal") / 500)).cast("bigint").alias("k")
+    c, s = _t(spark, sf_dir, "customer").select(band("c")), _t(spark, sf_dir, "supplier").select(band("s"))
     named = lambda d, n: d.select(F.lit(n).alias("op"), "k")
     return named(c.union(s).distinct(), "union").unionByName(named(c.intersect(s), "intersect")).unionByName(named(c.subtract(s), "except")).unionByName(named(s.subtract(c), "reverse"))
 
@@ -81,7 +81,7 @@ SELECT c_custkey, CASE WHEN o.c_custkey IS NOT NULL AND c_custkey % 3 = 0 THEN o
 FROM d JOIN b USING (c_custkey) LEFT JOIN o USING (c_custkey) WHERE NOT (o.c_custkey IS NULL AND d.bal = b.c_acctbal AND d.seg = b.c_mktsegment)""",
     "q_append_safe": "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_suppkey % 3 <> 0 UNION ALL SELECT s_suppkey, 0.0::DOUBLE FROM supplier WHERE s_suppkey % 3 = 0 AND s_suppkey % 2 = 0",
     "q_repoint": """
-WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS o FROM part), r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_quantity >= 40),
+WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS o FROM part), r AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
 x AS (SELECT l_orderkey, coalesce(o, l_partkey) AS ref, min(l_partkey) AS pos FROM r LEFT JOIN m ON l_partkey = p_partkey GROUP BY 1, 2)
 SELECT l_orderkey, string_agg(ref::VARCHAR, ',' ORDER BY pos) AS parts FROM x GROUP BY 1""",
     "q_exact_diff": "SELECT s_suppkey, s_name, s_nationkey, 'removed' AS side FROM supplier WHERE s_suppkey % 10 = 0 AND s_nationkey <> 7 UNION ALL SELECT s_suppkey, s_name, 7, 'added' FROM supplier WHERE s_suppkey % 10 = 0 AND s_nationkey <> 7",
@@ -92,6 +92,6 @@ SELECT 'discount high' AS rule, count(*) AS n FROM lineitem WHERE l_discount > 0
 UNION ALL SELECT 'price off', count(*) FROM lineitem WHERE l_extendedprice < 2000 HAVING count(*) > 0 UNION ALL SELECT 'flag unknown', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') HAVING count(*) > 0""",
     "q_missing_ids": "SELECT unnest(range((SELECT min(l_orderkey) FROM lineitem), (SELECT max(l_orderkey) + 1 FROM lineitem))) AS l_orderkey EXCEPT SELECT l_orderkey FROM lineitem",
     "q_set_ops": """
-WITH c AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal > 9000), s AS (SELECT DISTINCT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000)
+WITH c AS (SELECT DISTINCT (c_nationkey * 1000 + floor(c_acctbal / 500))::BIGINT AS k FROM customer), s AS (SELECT DISTINCT (s_nationkey * 1000 + floor(s_acctbal / 500))::BIGINT AS k FROM supplier)
 SELECT 'union' AS op, k FROM (SELECT k FROM c UNION SELECT k FROM s) UNION ALL SELECT 'intersect', k FROM c WHERE k IN (SELECT k FROM s) UNION ALL SELECT 'except', k FROM c WHERE k NOT IN (SELECT k FROM s) UNION ALL SELECT 'reverse', k FROM s WHERE k NOT IN (SELECT k FROM c)""",
 }

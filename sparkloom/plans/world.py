@@ -26,9 +26,11 @@ SELECT c_custkey AS k, c_nationkey AS nation, 'P-' || CAST(c_custkey + 1 AS STRI
   CASE c_custkey % 9 WHEN 0 THEN CAST(c_custkey + 10 AS STRING) || ' participants' WHEN 1 THEN 'N = ' || CAST(c_custkey % 400 AS STRING) WHEN 2 THEN CAST(c_custkey % 30 + 1 AS STRING) || ' studies' WHEN 3 THEN 'not reported'
     WHEN 4 THEN '~' || CAST(c_custkey % 200 + 5 AS STRING) WHEN 5 THEN '1,' || CAST(100 + c_custkey % 900 AS STRING) || ' adults' WHEN 6 THEN '**' || CAST(c_custkey % 50 AS STRING) WHEN 7 THEN '' ELSE 'n=' || CAST(c_custkey % 77 + 1 AS STRING) END AS Sample_N_Approx,
   CASE c_custkey % 11 WHEN 0 THEN 'V1' WHEN 1 THEN 'V2: 10-fold' WHEN 2 THEN 'V3' WHEN 3 THEN 'V4: external' WHEN 4 THEN 'none' WHEN 5 THEN 'V4' ELSE 'V2' END AS Validation_Type,
-  'pattern ' || CASE c_custkey % 3 WHEN 0 THEN 'cortical thickness' WHEN 1 THEN 'olfactory deficits' ELSE 'compensatory hyperactivation' END || ' predicts ' || CASE c_nationkey % 4 WHEN 0 THEN 'conversion' WHEN 1 THEN 'reversion' WHEN 2 THEN 'stability' ELSE 'severity' END
-    || ' among older adults visiting clinic' || CAST(c_custkey % 40 AS STRING) AS Key_Novelty,
-  'needs ' || CASE c_custkey % 4 WHEN 0 THEN 'cortical thickness' WHEN 1 THEN 'external conversion cohorts' WHEN 2 THEN 'olfactory deficits' ELSE 'larger severity samples' END || ' tested beyond clinic' || CAST(c_nationkey % 5 AS STRING) AS Primary_Limitation,
+  CASE c_custkey % 6 WHEN 0 THEN 'pattern' WHEN 1 THEN 'marker' WHEN 2 THEN 'signal' WHEN 3 THEN 'trait' WHEN 4 THEN 'profile' ELSE 'index' END || ' of ' || CASE c_custkey % 3 WHEN 0 THEN 'cortical thickness' WHEN 1 THEN 'olfactory deficits' ELSE 'compensatory hyperactivation' END
+    || CASE c_nationkey % 5 WHEN 0 THEN ' predicts ' WHEN 1 THEN ' marks ' WHEN 2 THEN ' precedes ' WHEN 3 THEN ' explains ' ELSE ' follows ' END || CASE c_nationkey % 4 WHEN 0 THEN 'conversion' WHEN 1 THEN 'reversion' WHEN 2 THEN 'stability' ELSE 'severity' END
+    || ' among ' || CASE c_custkey % 5 WHEN 0 THEN 'older adults' WHEN 1 THEN 'veterans' WHEN 2 THEN 'nurses' WHEN 3 THEN 'farmers' ELSE 'retired teachers' END || ' visiting clinic' || CAST(c_custkey % 40 AS STRING) AS Key_Novelty,
+  CASE c_nationkey % 5 WHEN 0 THEN 'needs ' WHEN 1 THEN 'wants ' WHEN 2 THEN 'lacks ' WHEN 3 THEN 'misses ' ELSE 'requires ' END || CASE c_custkey % 4 WHEN 0 THEN 'cortical thickness' WHEN 1 THEN 'external conversion cohorts' WHEN 2 THEN 'olfactory deficits' ELSE 'larger severity samples' END
+    || CASE c_nationkey % 3 WHEN 0 THEN ' tested beyond' WHEN 1 THEN ' seen across' ELSE ' repeated outside' END || ' region' || CAST(c_nationkey AS STRING) AS Primary_Limitation,
   CASE c_custkey % 10 WHEN 9 THEN 'n.d.' ELSE CAST(2017 + c_custkey % 10 AS STRING) || ' (online)' END AS Publication_Year,
   CASE c_custkey % 5 WHEN 0 THEN 'true' WHEN 1 THEN 'False' WHEN 2 THEN '' WHEN 3 THEN 'yes' ELSE 'maybe' END AS ADNI_Dependent,
   CASE c_custkey % 9 WHEN 0 THEN 'cross_sectional' WHEN 1 THEN 'longitudinal_multipoint' WHEN 2 THEN 'randomized_controlled_trial' WHEN 3 THEN 'systematic review' WHEN 4 THEN 'not reported' WHEN 5 THEN 'Survival_analysis' WHEN 6 THEN 'longitudinal_2point' WHEN 7 THEN 'pilot_design' ELSE '' END AS study_design_type,

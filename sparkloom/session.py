@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from functools import wraps
@@ -28,10 +29,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def ready(spark: SparkSession) -> None:
-    """Ship the package; make a checkpoint folder only where none is set (tests on one machine)."""
+    """Ship the package and set the checkpoint folder; where none is named, one is made on a single machine only."""
     ship(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkloom-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sparkloom-"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; deleted when the application ends."""
+    ready(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
