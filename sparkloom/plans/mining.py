@@ -359,7 +359,7 @@ x AS (SELECT a.Paper_ID, b.Paper_ID AS other, b.k, a.task FROM d a JOIN d b USIN
   AND NOT (a.me <> '' AND EXISTS (SELECT 1 FROM (SELECT DISTINCT task, me, mo FROM d) r WHERE r.task = a.task AND contains(r.me, a.me) AND contains(r.mo, b.mo))) AND NOT (b.me <> '' AND EXISTS (SELECT 1 FROM (SELECT DISTINCT task, me, mo FROM d) r WHERE r.task = a.task AND contains(r.me, b.me) AND contains(r.mo, a.mo))))
 SELECT Paper_ID, other, task FROM x QUALIFY row_number() OVER (PARTITION BY Paper_ID ORDER BY k) <= 3""",
     "q_consensus_review": ctes("registry", "findings", "support") + f""",
-f AS (SELECT id, CASE id WHEN 'VF-3' THEN required_family ELSE required_family END AS fam, CASE WHEN required_design = '' THEN 'any' ELSE required_design END AS des FROM findings),
+f AS (SELECT id, CASE id WHEN 'VF-13' THEN 'retinal' ELSE required_family END AS fam, CASE WHEN required_design = '' OR id = 'VF-13' THEN 'any' ELSE required_design END AS des FROM findings),
 p AS (SELECT *, lower(trim(Modality || ' ' || Method_Architecture)) AS t, {_nodes('lower(trim(Modality))')} AS nodes, lower(concat_ws(' ', Paper_ID, Category, Modality, Method_Architecture, Task_Type, Best_Metric, Validation_Type, Key_Novelty, Primary_Limitation, Architecture_Family, XAI_Method)) AS ev FROM registry),
 e AS (SELECT s.id, s.pid, p.Paper_ID IS NOT NULL AND (CASE fam WHEN 'any' THEN true WHEN 'novel_family' THEN true
     WHEN 'multimodal' THEN regexp_matches(t, '{'|'.join(registry_flow.FUSION)}') OR ({' + '.join(f"regexp_matches(t, '{'|'.join(w)}')::INT" for _, w in metrics.FAMILIES)}) >= 2

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from ..session import query
-from . import cohort, ledgers, lints, mining, pairing, parsing, prose, reports, texts
+from . import cohort, ledgers, lints, mining, pairing, parsing, prose, reports, roundtrips, texts
 
-_parts = (reports, pairing, cohort, ledgers, lints, parsing, texts, prose, mining)
+_parts = (reports, pairing, cohort, ledgers, lints, parsing, texts, prose, mining, roundtrips)
 QUERIES = {k: query(v) for p in _parts for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _parts for k, v in p.SQL.items()}
