@@ -212,3 +212,75 @@ def verify(frame: pd.DataFrame, saved: Mapping[str, float], tolerance: float = 1
     """Names whose recomputed value (name, value) is missing or off."""
     found = dict(zip(frame["name"], frame["value"], strict=True))
     return [k for k, v in saved.items() if k not in found or abs(found[k] - v) > tolerance]
+
+
+def frequency(df: DataFrame, *columns: str) -> DataFrame:
+    """(column, value, n): every value's rows, nulls too, of several columns in one pass."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])
+    return df.select(F.explode(each).alias("f")).groupBy("f.column", "f.value").agg(F.count("*").alias("n"))
+
+
+def audit(df: DataFrame, key: str, stages: Mapping[str, Column]) -> DataFrame:
+    """(stage, rows, people): rows that pass each stage and all before it, and their people, in one pass."""
+    passed, sums = F.lit(True), []
+    for name, when in stages.items():
+        passed = passed & F.coalesce(when, F.lit(False))
+        sums += [F.count_if(passed).alias(f"r_{name}"), F.countDistinct(F.when(passed, F.col(key))).alias(f"p_{name}")]
+    return df.agg(*sums).select(F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(f"r_{n}").alias("rows"), F.col(f"p_{n}").alias("people")) for n in stages])).alias("s")).select("s.*")
+
+
+def covariate_counts(df: DataFrame, age: Column, sex: Column, education: Column, genotype: Column, tobacco: Column) -> DataFrame:
+    """People with age, sex and education in range, and those of them with either exposure or both."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    common = known(age.between(50, 120) & sex.isin(1, 2) & education.between(0, 36))
+    gene, smoke = known(genotype.between(1, 6)), known(tobacco.isin(0, 1))
+    return df.agg(F.count("*").alias("people"), F.count_if(common).alias("common"), F.count_if(common & gene).alias("with_genotype"), F.count_if(common & smoke).alias("with_smoking"), F.count_if(common & gene & smoke).alias("with_both"))
+
+
+def first_after(visits: DataFrame, key: str) -> DataFrame:
+    """(key, middle, end, last): first times in states 2 and 3 and the last time, after a baseline (t = 0) in state 1. People whose past or baseline is in another state are left out."""
+    start = visits.where("t = 0").groupBy(key).agg(F.min("state").alias("_s0"))
+    past = visits.where("t < 0 and state in (2, 3)").select(key).distinct()
+    own = visits.join(start.where("_s0 = 1"), key).join(past, key, "left_anti").where("t > 0")
+    sums = own.groupBy(key).agg(F.min(F.when(F.col("state") == 2, F.col("t"))).alias("middle"), F.min(F.when(F.col("state") == 3, F.col("t"))).alias("end"), F.max("t").alias("last"))
+    return start.where("_s0 = 1").join(past, key, "left_anti").select(key).join(sums, key, "left")
+
+
+def incident_summary(visits: DataFrame, key: str, years_: float = 4.0) -> DataFrame:
+    """Baseline people, those seen in the middle state before any end, and what follows it."""
+    f = first_after(visits, key)
+    incident = F.col("middle").isNotNull() & (F.col("end").isNull() | (F.col("middle") < F.col("end")))
+    after, event = F.col("last") - F.col("middle"), F.col("end") - F.col("middle")
+    return f.agg(
+        F.count("*").alias("baseline"), F.count_if(incident).alias("incident"), F.count_if(incident & F.coalesce(event > 0, F.lit(False))).alias("later_end"), F.count_if(incident & F.coalesce((event > 0) & (event <= years_), F.lit(False))).alias("end_within"),
+        F.count_if(incident & (after > 0)).alias("followed"), F.count_if(incident & (after <= 0)).alias("not_followed"), F.percentile(F.when(incident & (after > 0), after), F.lit(0.5)).alias("median_follow_up"),
+    )
+
+
+def between_events(visits: DataFrame, key: str, code: int, within: float = 8.0) -> DataFrame:
+    """(converters, direct, direct_with_code): people who reach the end within a time, those not seen in the middle before, and those of them with a visit of ``code`` (raw column) strictly between baseline and end."""
+    f = first_after(visits, key).where(F.col("end") <= within).withColumn("direct", F.col("middle").isNull() | (F.col("middle") > F.col("end")))
+    seen = visits.where((F.col("raw") == code) & (F.col("t") > 0)).select(key, "t").join(f.select(key, "end"), key).where("t < end").select(key, F.lit(True).alias("seen")).distinct()
+    return f.join(seen, key, "left").agg(F.count("*").alias("converters"), F.count_if("direct").alias("direct"), F.count_if(F.col("direct") & F.coalesce("seen", F.lit(False))).alias("direct_with_code"))
+
+
+def endpoint_subset(visits: DataFrame, key: str, target: float = 4.0, window: float = 0.5) -> DataFrame:
+    """Visits up to the one nearest to ``target`` within the window (ties: the earlier) of people who have one; ``endpoint`` is its time."""
+    near = F.struct(F.abs(F.col("t") - target), F.col("t"))
+    ends = visits.where(F.abs(F.col("t") - target) <= window).groupBy(key).agg(F.min_by("t", near).alias("endpoint"))
+    return visits.join(ends, key).where(F.col("t") <= F.col("endpoint"))
+
+
+def grid_sensitivity(visits: DataFrame, key: str, periods: Sequence[float], windows: Sequence[float], literal: bool = False) -> DataFrame:
+    """(period, offset, window, n, n_direct, share): the direct share under every schedule of period, offset (none and half) and window.
+
+    With ``literal`` the first visits alone are kept besides the grid, not the last.
+    """
+    out = None
+    for period in periods:
+        for offset in (0.0, period / 2):
+            for window in windows:
+                kept = longitudinal.mask_visits(visits.select(key, "t", "state"), key, "t", period, window, offset, terminal=not literal)
+                row = direct_metrics(kept, key).select(F.lit(float(period)).alias("period"), F.lit(float(offset)).alias("offset"), F.lit(float(window)).alias("window"), "n", "n_direct", "share")
+                out = row if out is None else out.unionByName(row)
+    return out

@@ -144,46 +144,40 @@ def transition(rates: np.ndarray, t: np.ndarray) -> np.ndarray:
     return out
 
 
-def ctmc(panel: DataFrame, starts: Sequence[Sequence[float]] = STARTS, steps: int = 40) -> DataFrame:
-    """(rate, estimate, at_bound, loglik) by projected Newton on log rates over a panel (dt, s0, s1, n).
+def _climb(values, xs: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """(points, values) that projected Newton steps reach from each start within the bounds; ``values`` takes many points in one pass.
 
-    Each step sums the log-likelihood at all points of a finite-difference stencil in one pass.
+    All starts move in the same passes. Slopes come from a stencil around each point, moved inward at a bound.
     """
-    data = panel.select(F.col("dt").cast("double"), F.col("s0").cast("int"), F.col("s1").cast("int"), F.col("n").cast("double")).cache()
-
-    def values(points: np.ndarray) -> np.ndarray:
-        def part(b: pd.DataFrame) -> np.ndarray:
-            i, j, n = b["s0"].to_numpy() - 1, b["s1"].to_numpy() - 1, b["n"].to_numpy()
-            at = np.arange(len(b))
-            return np.array([(n * np.log(np.maximum(transition(np.exp(q), b["dt"].to_numpy())[at, i, j], 1e-300))).sum() for q in points])
-
-        return sums(data, part)
-
-    h, eye = 1e-4, np.eye(4) * 1e-4
-    above = [(i, j) for i in range(4) for j in range(i + 1, 4)]
-    xs = np.clip(np.log(np.array(starts, float)), LOW, HIGH)
+    p, h = xs.shape[1], 1e-4
+    eye = np.eye(p) * h
+    above = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    xs = np.clip(xs, low, high)
     value, live = np.full(len(xs), -np.inf), np.ones(len(xs), bool)
-    for _ in range(steps):  # all starts move in the same passes
+    for _ in range(steps):
         on = np.flatnonzero(live)
         if not len(on):
             break
-        stencil = np.array([[x, *(x + e for e in eye), *(x - e for e in eye), *(x + eye[i] + eye[j] for i, j in above)] for x in xs[on]])
-        f = values(stencil.reshape(-1, 4))
+        centre = np.clip(xs, low + h, high - h)
+        stencil = np.array([[x, *(c + e for e in eye), *(c - e for e in eye), *(c + eye[i] + eye[j] for i, j in above), c] for x, c in zip(xs[on], centre[on], strict=True)])
+        f = values(stencil.reshape(-1, p))
         f = f.reshape(len(on), -1) if len(f) else np.zeros(stencil.shape[:2])
-        moves = np.zeros((len(on), 12, 4))
+        moves = np.zeros((len(on), 12, p))
         for k, o in enumerate(on):
-            x, g = xs[o], (f[k, 1:5] - f[k, 5:9]) / (2 * h)
+            x, mid = xs[o], f[k, -1]
+            up, down = f[k, 1 : p + 1], f[k, p + 1 : 2 * p + 1]
+            g = (up - down) / (2 * h)
             value[o] = f[k, 0]
-            hess = np.diag((f[k, 1:5] + f[k, 5:9] - 2 * f[k, 0]) / h**2)
+            hess = np.diag((up + down - 2 * mid) / h**2)
             for m, (i, j) in enumerate(above):
-                hess[i, j] = hess[j, i] = (f[k, 9 + m] - f[k, 1 + i] - f[k, 1 + j] + f[k, 0]) / h**2
-            free = ~((x <= LOW + 1e-12) & (g < 0) | (x >= HIGH - 1e-12) & (g > 0))
-            step = np.zeros(4)
+                hess[i, j] = hess[j, i] = (f[k, 2 * p + 1 + m] - up[i] - up[j] + mid) / h**2
+            free = ~((x <= low + 1e-12) & (g < 0) | (x >= high - 1e-12) & (g > 0))
+            step = np.zeros(p)
             if free.any():
                 w, v = np.linalg.eigh(-hess[np.ix_(free, free)])
                 step[free] = v @ ((v.T @ g[free]) / np.maximum(np.abs(w), 1e-6))
-            moves[k] = np.clip(x + 2.0 ** -np.arange(12)[:, None] * np.clip(step, -2, 2), LOW, HIGH)
-        got = values(moves.reshape(-1, 4))
+            moves[k] = np.clip(x + 2.0 ** -np.arange(12)[:, None] * np.clip(step, -2, 2), low, high)
+        got = values(moves.reshape(-1, p))
         got = got.reshape(len(on), 12) if len(got) else np.zeros((len(on), 12))
         for k, o in enumerate(on):
             m = int(np.argmax(got[k]))
@@ -191,11 +185,64 @@ def ctmc(panel: DataFrame, starts: Sequence[Sequence[float]] = STARTS, steps: in
                 live[o] = False
             else:
                 xs[o], value[o] = moves[k, m], got[k, m]
-    data.unpersist()
-    x, value = xs[int(np.argmax(value))], float(value.max())
-    rates = np.exp(x)
+    return xs, value
+
+
+def _panel_values(data: DataFrame, to_rates):
+    """Log-likelihood of a panel at many points, summed in one pass."""
+
+    def values(points: np.ndarray) -> np.ndarray:
+        def part(b: pd.DataFrame) -> np.ndarray:
+            i, j, n = b["s0"].to_numpy() - 1, b["s1"].to_numpy() - 1, b["n"].to_numpy()
+            at = np.arange(len(b))
+            return np.array([(n * np.log(np.maximum(transition(to_rates(q), b["dt"].to_numpy())[at, i, j], 1e-300))).sum() for q in points])
+
+        return sums(data, part)
+
+    return values
+
+
+def _panel(panel: DataFrame) -> DataFrame:
+    return panel.select(F.col("dt").cast("double"), F.col("s0").cast("int"), F.col("s1").cast("int"), F.col("n").cast("double")).cache()
+
+
+def ctmc(panel: DataFrame, starts: Sequence[Sequence[float]] = STARTS, steps: int = 40) -> DataFrame:
+    """(rate, estimate, at_bound, loglik) by projected Newton on log rates over a panel (dt, s0, s1, n)."""
+    data = _panel(panel)
+    try:
+        xs, value = _climb(_panel_values(data, np.exp), np.log(np.array(starts, float)), np.full(4, LOW), np.full(4, HIGH), steps)
+    finally:
+        data.unpersist()
+    rates, best = np.exp(xs[int(np.argmax(value))]), float(value.max())
     names = ("r12", "r13", "r21", "r23")
-    return panel.sparkSession.createDataFrame([(n, float(r), bool(r <= 1.01e-6 or r >= 1.999), value) for n, r in zip(names, rates, strict=True)], "rate string, estimate double, at_bound boolean, loglik double")
+    return panel.sparkSession.createDataFrame([(n, float(r), bool(r <= 1.01e-6 or r >= 1.999), best) for n, r in zip(names, rates, strict=True)], "rate string, estimate double, at_bound boolean, loglik double")
+
+
+def ctmc_boundary(panel: DataFrame, starts: Sequence[Sequence[float]] = STARTS, steps: int = 40, horizon: float = 4.0) -> DataFrame:
+    """(mode, r12, r13, r21, r23, loglik, to_first, to_end): the fit with the direct rate bounded away from zero, fixed at zero, and free from zero on.
+
+    ``to_first`` and ``to_end`` are the chances to be in states 1 and 3 a horizon after state 2.
+    """
+    data, rows = _panel(panel), []
+    start = np.array(starts, float)
+    try:
+        for mode in ("original_bound", "fixed_zero", "free_nonnegative"):
+            if mode == "fixed_zero":
+                to_rates = lambda q: np.array([np.exp(q[0]), 0.0, np.exp(q[1]), np.exp(q[2])])
+                xs, low, high = np.log(start[:, [0, 2, 3]]), np.full(3, LOW), np.full(3, HIGH)
+            elif mode == "free_nonnegative":
+                to_rates = lambda q: np.array([np.exp(q[0]), q[1], np.exp(q[2]), np.exp(q[3])])
+                xs, low, high = np.log(start), np.array([LOW, 0.0, LOW, LOW]), np.array([HIGH, 2.0, HIGH, HIGH])
+                xs[:, 1] = start[:, 1]
+            else:
+                to_rates, xs, low, high = np.exp, np.log(start), np.full(4, LOW), np.full(4, HIGH)
+            xs, value = _climb(_panel_values(data, to_rates), xs, low, high, steps)
+            rates = to_rates(xs[int(np.argmax(value))])
+            after = transition(rates, np.array([horizon]))[0]
+            rows.append((mode, *map(float, rates), float(value.max()), float(after[1, 0]), float(after[1, 2])))
+    finally:
+        data.unpersist()
+    return panel.sparkSession.createDataFrame(rows, "mode string, r12 double, r13 double, r21 double, r23 double, loglik double, to_first double, to_end double")
 
 
 def kappa(n00: float, n01: float, n10: float, n11: float) -> float:

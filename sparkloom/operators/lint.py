@@ -51,3 +51,25 @@ def stop_on(found: DataFrame, hard: Sequence[str]) -> int:
     if bad:
         raise ValueError(f"hard rules violated: {bad}")
     return sum(counts.values())
+
+
+def unexpected(df: DataFrame, key: str, expected: DataFrame) -> DataFrame:
+    """(key, field, expected, found) of ``expected`` (key, field, value, how) that a table does not hold: ``how`` is equals, contains or empty. A key without a row is found null."""
+    fields = [c for c in df.columns if c != key]
+    long = df.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("found")) for c in fields])).alias("f")).select(key, "f.field", "f.found")
+    both = expected.join(long, [key, "field"], "left")
+    found = F.coalesce("found", F.lit(""))
+    holds = F.when(F.col("how") == "contains", F.contains(found, F.col("value"))).when(F.col("how") == "empty", found == "").otherwise(F.coalesce(found.try_cast("double") == F.col("value").try_cast("double"), found == F.col("value")))
+    return both.where(~holds | F.col("found").isNull() & (F.col("how") != "empty")).select(key, "field", F.col("value").alias("expected"), "found")
+
+
+def off_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(path, reason) of manifest rows (path, sha256) whose file is missing or has another digest. ``files`` (path, content) as a binary source gives them."""
+    own = files.select("path", F.sha2("content", 256).alias("found"))
+    return manifest.join(own, "path", "left").where(F.col("found").isNull() | (F.col("found") != F.col("sha256"))).select("path", F.when(F.col("found").isNull(), "missing").otherwise("digest differs").alias("reason"))
+
+
+def disagreeing(a: DataFrame, b: DataFrame, key: str, value: str, tolerance: float = 0.0) -> DataFrame:
+    """(key, a, b) of results that two tables do not share or in which they differ by more than ``tolerance``."""
+    x, y = (d.select(key, F.col(value).cast("double").alias(n)) for d, n in ((a, "a"), (b, "b")))
+    return x.join(y, key, "full").where(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) > tolerance))

@@ -118,7 +118,7 @@ def q_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as JSON lines, overwritten as a whole and read back."""
     path = f"{shared_path(spark, 'events')}/log"
     e = _t(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
-    writers.overwrite_json(e.where("event_id < 10"), path)
+    writers.overwrite_json(e.where("event_type = 'error'"), path)
     writers.overwrite_json(e, path)
     return readers.event_log(spark, path, "event_id bigint, event_type string, user_id bigint").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("n_users"), F.max("event_id").alias("last"))
 
