@@ -155,20 +155,43 @@ def pack(ids: np.ndarray, tags: np.ndarray, text: np.ndarray, keys: np.ndarray,
         yield row
 
 
-def unpack(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(id, tag, key, place) of every occurrence of a bucket; id and tag by text, with ``text`` folded in by repeat."""
-    get = lambda name, kind: np.frombuffer(b"".join(x.as_py() for c in rows.column(name).chunks for x in c), kind)
+@dataclass
+class Packed:
+    """Occurrences of a bucket: keys and places of each, id and tag of each run of ``counts`` of them."""
+
+    ids: np.ndarray
+    tags: np.ndarray
+    ends: np.ndarray
+    keys: np.ndarray
+    place: np.ndarray
+
+    def owners(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(id, tag) of some occurrences; they are not spread over all."""
+        of = np.searchsorted(self.ends, which, "right")
+        return self.ids[of], self.tags[of]
+
+
+def repeated(keys: np.ndarray) -> np.ndarray:
+    """Indices of keys that occur more than once, in order of key."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    return order[np.append(same, False) | np.append(False, same)]
+
+
+def unpack(rows: pa.Table) -> Packed:
+    get = lambda name, kind: np.frombuffer(b"".join(x.as_buffer() for c in rows.column(name).chunks for x in c), kind)
     counts = get("counts", np.uint32)
-    ids, tags, keys = get("ids", np.int64), get("tags", np.int64), get("keys", U64)
-    steps = get("steps", np.uint8).astype(np.int64)
+    steps = get("steps", np.uint8)
     if len(steps):
-        steps[steps == 255] = get("long_steps", np.uint32)
-        first = np.cumsum(counts) - counts
-        total = np.cumsum(steps)
-        place = total - np.repeat(total[first] - steps[first], counts)
+        first = np.cumsum(counts, dtype=np.int64) - counts
+        place = steps.astype(np.int64)
+        place[steps == 255] = get("long_steps", np.uint32)
+        base = place[first]
+        np.cumsum(place, out=place)
+        place -= np.repeat(place[first] - base, counts)
     else:
         place = np.zeros(0, np.int64)
-    return np.repeat(ids, counts), np.repeat(tags, counts), keys, place
+    return Packed(get("ids", np.int64), get("tags", np.int64), np.cumsum(counts, dtype=np.int64), get("keys", U64), place)
 
 
 #: What buckets send back to texts: one row a bucket and destination. a and b: values of each entry.

@@ -77,12 +77,13 @@ def shared_grams(rows: DataFrame, n: int, num: int, den: int, buckets: int) -> D
                 yield kernel.to_batch(found, kernel.PACKED_ARROW)
 
     def count(rows: pa.Table) -> pa.Table:
-        ids, tags, keys, _ = kernel.unpack(rows)
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        own = order[np.append(same, False) | np.append(False, same)]
-        own = own[np.lexsort((tags[own], ids[own], keys[own]))]
-        k, i, t = keys[own], ids[own], tags[own]
+        packed = kernel.unpack(rows)
+        own = kernel.repeated(packed.keys)
+        i, t = packed.owners(own)
+        k = packed.keys[own]
+        del packed
+        order = np.lexsort((t, i, k))
+        k, i, t = k[order], i[order], t[order]
         new_key = np.append(True, k[1:] != k[:-1])[: len(k)]
         new = new_key | np.append(True, (i[1:] != i[:-1]) | (t[1:] != t[:-1]))[: len(k)]
         k, i, t = k[new], i[new], t[new]  # a repeated row is no other text

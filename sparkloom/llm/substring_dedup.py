@@ -32,8 +32,8 @@ from . import kernel
 from .common import release, saved, ship, table
 
 WINDOW = 20
-#: Bytes of text whose windows fall into one bucket: about four million windows.
-BUCKET_BYTES = 24_000_000
+#: Bytes of text whose windows fall into one bucket: about two and a half million windows.
+BUCKET_BYTES = 16_000_000
 FIRST_ID = -(1 << 63)
 
 KEPT = pa.schema([("id", pa.int64()), ("is_null", pa.bool_()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -70,18 +70,22 @@ def repeated_places(rows: DataFrame, window: int, buckets: int) -> DataFrame:
                 yield kernel.to_batch(found, kernel.PACKED_ARROW)
 
     def judge(rows: pa.Table) -> pa.Table:
-        ids, tags, keys, place = kernel.unpack(rows)
-        order = np.argsort(keys)
-        same = keys[order[1:]] == keys[order[:-1]]
-        own = order[np.append(same, False) | np.append(False, same)]
-        own = own[np.lexsort((place[own], tags[own], ids[own], keys[own]))]
-        new = np.diff(keys[own], prepend=~keys[own[:1]]) != 0
+        packed = kernel.unpack(rows)
+        own = kernel.repeated(packed.keys)
+        keys, place = packed.keys[own], packed.place[own]
+        ids, tags = packed.owners(own)
+        del packed
+        order = np.lexsort((place, tags, ids, keys))
+        keys, place, ids, tags = keys[order], place[order], ids[order], tags[order]
+        new = np.diff(keys, prepend=~keys[:1]) != 0
         # rows that repeat id and text are one document: the same place again is no repetition
-        twice = ~new & np.append(False, (ids[own][1:] == ids[own][:-1]) & (tags[own][1:] == tags[own][:-1]) & (place[own][1:] == place[own][:-1]))[: len(own)]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))
-        as_head = (ids[own] == ids[own[head]]) & (tags[own] == tags[own[head]]) & (place[own] == place[own[head]]) if len(own) else new
-        gone = own[~new & ~twice & ~as_head]
-        return kernel.reply(ids[gone], tags[gone], place[gone].astype(np.int32), None, buckets)
+        twice = ~new & np.append(False, (ids[1:] == ids[:-1]) & (tags[1:] == tags[:-1]) & (place[1:] == place[:-1]))[: len(keys)]
+        head = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
+        as_head = (ids == ids[head]) & (tags == tags[head]) & (place == place[head]) if len(keys) else new
+        gone = ~new & ~twice & ~as_head
+        out = kernel.reply(ids[gone], tags[gone], place[gone].astype(np.int32), None, buckets)
+        pa.default_memory_pool().release_unused()
+        return out
 
     packed = rows.select("id", "tag", "text").mapInArrow(emit, kernel.PACKED)
     found = packed.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(judge, kernel.REPLY)
