@@ -106,3 +106,11 @@ def derived(rows: DataFrame) -> DataFrame:
         "domain": domain(F.col("Category")), "sample_n": sample_size(F.col("Sample_N_Approx")), "design": design(F.col("study_design_type")),
         "arch": F.trim(F.coalesce(F.col("Architecture_Family"), F.lit(""))), "has_xai": ~is_missing(F.col("XAI_Method"), "xai"),
     })
+
+
+def filtered(rows: DataFrame, key: str, tokens: DataFrame, token: str) -> DataFrame:
+    """Rows whose id is named by a token: ``P-12`` and ``12`` name each other. Without tokens all rows stay."""
+    number = lambda c: F.regexp_extract(F.trim(c), r"(?i)^(?:P-)?(\d+)$", 1)
+    named = lambda c: F.when(number(c) != "", F.concat(F.lit("#"), number(c))).otherwise(F.trim(c))
+    wanted = tokens.where(F.trim(token) != "").select(named(token).alias("_named")).distinct()
+    return rows if wanted.isEmpty() else rows.join(wanted, named(key) == F.col("_named"), "left_semi")

@@ -175,8 +175,7 @@ PROSE_METRICS = [
 
 def not_reported(text: Column) -> Column:
     """Whether a field says that its value is absent."""
-    head = F.lower(compact(text))
-    return (head == "") | head.rlike(r"^(?:nr|n/a|none)\b\s*[.:;,-]") | head.startswith("not reported") | head.startswith("not applicable") | head.isin("nr", "n/a", "none")
+    return F.lower(compact(text)).rlike(r"^(?:$|(?:nr|n/a|none)(?:$|\b\s*[.:;,-])|not reported|not applicable)")
 
 
 def denies_metric(text: Column) -> Column:
@@ -207,18 +206,21 @@ METRIC_NAMES = ("bACC", "Acc", "AUC", "F1", "kappa", "Sens", "Spec", "NR", "OR",
 
 def canonical_metric(declared: Column, most: int = 450) -> Column:
     """``TYPE VALUE`` of a declared metric written in either order; NR where it says there is none."""
-    s = F.regexp_replace(compact(declared), r"\.+$", "")
     names = "|".join(METRIC_NAMES)
     turned = rf"(?i)^([0-9][0-9.,]*\s*%?)\s+({names})\b"
-    name = F.lower(F.regexp_extract(s, turned, 2))
-    canon = F.coalesce(*[F.when(name == n.lower(), F.lit(n)) for n in METRIC_NAMES], name)
-    return (
-        F.when(s == "", "not reported")
-        .when(not_reported(s) | denies_metric(s) | F.upper(s).isin("NR", "NONE"), "NR")
-        .when(s.rlike(rf"(?i)^(?:{names})"), F.substring(s, 1, most))
-        .when(name != "", F.concat(canon, F.lit(" "), F.trim(F.regexp_extract(s, turned, 1))))
-        .otherwise(F.substring(s, 1, most))
-    )
+
+    def canonical(s: Column) -> Column:
+        name = F.lower(F.regexp_extract(s, turned, 2))
+        canon = let(name, lambda x: F.coalesce(*[F.when(x == n.lower(), F.lit(n)) for n in METRIC_NAMES], x))
+        return (
+            F.when(s == "", "not reported")
+            .when(not_reported(s) | denies_metric(s) | F.upper(s).isin("NR", "NONE"), "NR")
+            .when(s.rlike(rf"(?i)^(?:{names})"), F.substring(s, 1, most))
+            .when(name != "", F.concat(canon, F.lit(" "), F.trim(F.regexp_extract(s, turned, 1))))
+            .otherwise(F.substring(s, 1, most))
+        )
+
+    return let(F.regexp_replace(compact(declared), r"\.+$", ""), canonical)
 
 
 # Openings that justify a coding and are no label; the label of each category.
@@ -241,11 +243,99 @@ def modality_label(prose: Column, most: int = 80) -> Column:
     s = F.regexp_replace(s, r"(?i)^(?:verbatim gloss|category|modality|assigned|why c\d)\s*[:=]\s*", "")
     s = F.trim(F.regexp_replace(s, r"^C[1-6]\s*(?:=|-|–|—|:)?\s*", ""))
     s = F.regexp_replace(s, rf"^{PARENTHESES}[\s\-–—:;,.=]*", "")
-    # a clause of eight signs or more, up to the first stop, dash or comma that is not inside parentheses
+    return F.when(not_reported(prose), F.lit(None).cast("string")).when(none, "none (no primary data)").otherwise(let(s, lambda x: let(_clause(x), lambda c: F.when(_is_label(c, most), c))))
+
+
+def _clause(s: Column) -> Column:
+    """A clause of eight signs or more, up to the first stop, dash or comma that is not inside parentheses."""
     clause = F.trim(F.regexp_extract(s, rf"^((?:{PARENTHESES}|[^()]){{8,}}?)(?:(?<=[a-z0-9)\"])[.;](?:\s|$)|\s[-–—]\s|,\s)", 1))
-    clause = F.when(clause != "", clause).otherwise(F.trim(s))
-    fits = F.length(clause).between(3, most) & ~clause.rlike(JUSTIFIES) & ~clause.rlike(r"(?i)\*\*|\bcodebook\b|\bassignment\b")
-    return F.when(not_reported(prose), F.lit(None).cast("string")).when(none, "none (no primary data)").when((s != "") & fits, clause)
+    return F.when(clause != "", clause).otherwise(F.trim(s))
+
+
+def _is_label(clause: Column, most: int) -> Column:
+    return F.length(clause).between(3, most) & ~clause.rlike(JUSTIFIES) & ~clause.rlike(r"(?i)\*\*|\bcodebook\b|\bassignment\b")
+
+
+_LABEL = r"(?:category\s+assigned|assigned\s+category|(?:task|validation|architecture|method|modality|category)\s+assigned|assigned|category)\s*[:=]\s*"
+
+
+def strip_label(section: Column) -> Column:
+    """A section without its leading labels and the bare code and separators behind each."""
+    out = F.ltrim(F.coalesce(section, F.lit("")))
+    for _ in range(3):
+        out = F.regexp_replace(out, rf"(?i)^[*_\s]*{_LABEL}(?:[A-Z][1-8]\b[\s.,;:=\-]*)?[=\-–—:;,.\s]*", "")
+    return out
+
+
+def strip_code_prefix(section: Column) -> Column:
+    """``C5 (label (more)) - prose`` without the code, its label in brackets or quotes, and the separators; with a capital."""
+    return let(compact(section), _without_code)
+
+
+def _without_code(s: Column) -> Column:
+    rest = F.trim(F.regexp_replace(s, rf"^[*_\s]*[A-Z][1-8]\b(?:[\s\-–—:;,.=]*(?:{PARENTHESES}|\"[^\"]*\")){{0,4}}[\s\-–—:;,.=]*", ""))
+    coded = s.rlike(r"^[*_\s]*[A-Z][1-8]\b")
+    return F.when(~coded | (rest == ""), s).otherwise(F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1 << 30)))
+
+
+# Other names of study designs, of metric types and of XAI methods.
+DESIGN_NAMES = {
+    "randomized_controlled_trial": ("rct", "randomised_controlled_trial", "interventional_rct", "randomized_clinical_trial", "randomised", "randomized", "randomized_controlled_trial"),
+    "commentary_editorial": ("non_research_editorial", "editorial", "commentary", "letter_to_the_editor", "correspondence", "letter", "commentary_editorial"),
+    "review_meta_analysis": ("qualitative_systematic_review", "scoping_review", "umbrella_review", "systematic_review", "meta_analysis", "narrative_review", "systematic_review_meta_analysis", "network_meta_analysis", "systematic_review_network_meta_analysis", "review", "review_meta_analysis"),
+    "cross_sectional": ("cross_sectional_study", "cross_sectional_survey", "cross_sectional_observational", "cross_sectional"),
+    "survival_analysis": ("survival", "cox_regression", "time_to_event", "survival_analysis"),
+}
+METRIC_TYPE_NAMES = {
+    "AUC_ROC": ("auc_roc", "auc", "roc_auc", "auroc", "auc_delong"), "Accuracy": ("accuracy",), "Balanced_Accuracy": ("balanced_accuracy",), "C_index": ("c_index", "concordance_index", "cindex", "c_statistic", "concordance"),
+    "Sensitivity_Specificity": ("sensitivity_specificity", "sensitivity", "specificity", "sens_spec"), "PPV": ("ppv",), "Hazard_Ratio": ("hazard_ratio", "hr", "ahr", "adjusted_hazard_ratio"), "Odds_Ratio": ("odds_ratio", "or", "aor", "adjusted_odds_ratio"),
+    "F1": ("f1",), "effect_size": ("effect_size", "smd", "hedges_g", "cohens_d", "cohen_d", "mean_difference", "standardised_mean_difference", "standardized_mean_difference"), "Risk_Ratio": ("risk_ratio", "rr", "relative_risk"),
+    "Correlation": ("correlation", "spearman_correlation", "pearson_correlation", "correlation_coefficient"), "Kappa": ("kappa", "cohens_kappa", "cohen_kappa"), "MMSE_change": ("mmse_change",), "regression_coefficient": ("regression_beta", "beta", "beta_coefficient", "regression_coefficient"),
+    "prevalence": ("prevalence_point_estimate", "prevalence"), "group_difference": ("group_difference",), "qualitative": ("qualitative",),
+    "descriptive": ("descriptive", "observed_expected_ratio", "descriptive_time_interval", "threshold_estimate", "descriptive_statistics", "proportion", "proportion_descriptive"), "not reported": ("not_reported", "nr", "not_applicable", "na", "n_a", "not", "none", "no"),
+}
+XAI_NAMES = {
+    "none": ("none",), "SHAP": ("shap", "shapley"), "Grad-CAM": ("grad-cam", "gradcam"), "LIME": ("lime",), "attention-map": ("attention-map", "attention map"), "occlusion": ("occlusion",), "decision-tree": ("decision-tree", "decision tree"), "fuzzy-rules": ("fuzzy-rules", "fuzzy rules"),
+    "integrated-gradients": ("integrated gradients", "integrated-gradients"), "permutation-importance": ("permutation importance", "permutation-importance", "mean decrease accuracy"),
+}
+TOKEN = "^[A-Za-z][A-Za-z0-9_]{2,60}$"
+
+
+def _token(value: Column, lower: bool = True) -> Column:
+    raw = F.regexp_replace(F.trim(F.coalesce(value, F.lit(""))), "^[*\"'`]+|[*\"'`]+$", "")
+    out = F.regexp_replace(F.regexp_replace(F.lower(raw) if lower else raw, "[ \\-]+", "_"), "^[_.]+|[_.]+$", "")
+    return out
+
+
+def _named(token: Column, names: dict[str, tuple[str, ...]]) -> Column:
+    return F.coalesce(*[F.when(token.isin(*words), F.lit(name)) for name, words in names.items()])
+
+
+def canonical_design(value: Column) -> Column:
+    """Canonical study design of a declared token; a clean unknown token is kept, a shrug or prose is null."""
+    t = _token(value)
+    shrug = t.rlike("no_admissible|none_fits|does_not_fit|not_fit|unclear|unknown")
+    return F.when((t == "") | shrug, F.lit(None).cast("string")).otherwise(F.coalesce(_named(t, DESIGN_NAMES), F.when(t.isin("not_reported", "nr", "not_applicable", "na", "not", "none", "no"), "not reported"), F.when(t.rlike(TOKEN) & ~F.trim(value).contains(" "), t)))
+
+
+def canonical_metric_type(value: Column) -> Column:
+    """Canonical metric type of a declared token; a clean unknown token is kept as written, prose is null."""
+    t, own = _token(value), _token(value, lower=False)
+    return F.when(t == "", F.lit(None).cast("string")).otherwise(F.coalesce(_named(t, METRIC_TYPE_NAMES), F.when(own.rlike(TOKEN), own)))
+
+
+def xai_declared(text: Column) -> Column:
+    """XAI method that a text declares outright, if it declares exactly one."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)\bXAI[_ ]?Method\b\s*(?:for the registry\s*)?(?:is|:|=)\s*\"?([A-Za-z][A-Za-z \-]{2,20}?)\"?(?=[.,;)\s]|$)"), F.lit(1))
+    tags = F.array_distinct(F.array_compact(F.transform(found, lambda x: _named(F.lower(F.trim(x)), XAI_NAMES))))
+    return F.when(F.size(tags) == 1, F.get(tags, F.lit(0)))
+
+
+def sample_size_prose(text: Column) -> Column:
+    """First sample size that free text states, as written; null where it states none."""
+    t = F.coalesce(text, F.lit(""))
+    tries = (r"(?i)\bn\s*=\s*(\d+)", r"(?i)\(n[\s=]*(\d+)\)", r"(?i)(\d+)\s+(?:participants|subjects|patients|individuals|older adults|MCI patients|controls|healthy controls)")
+    return F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in tries])
 
 
 def category_label(code: Column) -> Column:

@@ -87,10 +87,15 @@ def truncate_at_word(col: Column, most: int) -> Column:
     """At most ``most`` signs, cut at the last blank within them."""
     text = compact(col)
     head = F.substring(text, 1, most)
-    cut = F.regexp_replace(head, r"\s+\S*$", "")
+    cut = F.regexp_replace(F.regexp_replace(head, r"\s+\S*$", ""), r"[ ,;:\-]+$", "")
     return F.when(F.length(text) <= most, text).otherwise(cut)
 
 
+def safe_words(col: Column, n: int) -> Column:
+    """The first ``n`` runs of letters, digits and hyphens."""
+    return F.array_join(F.slice(F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(r"[A-Za-z0-9\-]+"), F.lit(0)), 1, n), " ")
+
+
 def first_words(col: Column, n: int) -> Column:
     return F.array_join(F.slice(F.split(compact(col), " "), 1, n), " ")
 

@@ -96,3 +96,23 @@ def sensitivity_grid(df: DataFrame, gap: str, rules: dict[str, Column], policies
     """Rows whose gap reaches each rule's threshold under each policy's filter."""
     grid = [F.struct(F.lit(r).alias("rule"), F.lit(p).alias("policy"), F.coalesce((F.col(gap) + 1e-12 >= t) & keep, F.lit(False)).alias("hit")) for r, t in rules.items() for p, keep in policies.items()]
     return df.select(F.explode(F.array(*grid)).alias("g")).groupBy("g.rule", "g.policy").agg(F.count_if("g.hit").alias("n"))
+
+
+def threshold_ids(df: DataFrame, value: str, cuts: Sequence[float], external: Column, key: str, order: Column) -> DataFrame:
+    """(cut, n, internal, external, ids): rows at or above each cut and, in order, the keys of the external ones. Only those keys, of the highest cut each reaches, are gathered."""
+    d = df.select(F.col(key).alias("key"), order.alias("o"), F.col(value).alias("v"), F.coalesce(external, F.lit(False)).alias("x")).withColumn("cut", F.explode(F.array(*[F.lit(float(c)) for c in cuts]))).where(F.col("v") >= F.col("cut"))
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("x"), F.struct("o", "key")))), lambda r: r["key"]), ", ")
+    return d.groupBy("cut").agg(F.count("*").alias("n"), F.count_if(~F.col("x")).alias("internal"), F.count_if("x").alias("external"), ids.alias("ids"))
+
+
+def adjudicated(sheet: DataFrame, key: DataFrame, left_out: DataFrame) -> DataFrame:
+    """(policy, kind, n, agree, tp, fn, tn, fp): verdicts of a worksheet (item, verdict, note) against its key (item, first_reader, kind).
+
+    Empty verdicts, excluded items and those marked as not blind take no part. ``rescope`` counts as admit under one
+    policy and as reject under the other; kind ``all`` is the sum.
+    """
+    v = F.lower(F.trim(F.coalesce("verdict", F.lit(""))))
+    own = sheet.withColumn("v", v).where((F.col("v") != "") & ~F.upper(F.coalesce("note", F.lit(""))).contains("[NONBLIND")).join(left_out.select("item"), "item", "left_anti").join(key, "item")
+    each = own.withColumn("policy", F.explode(F.array(F.lit("admit"), F.lit("reject")))).withColumn("second", F.when(F.col("v") == "rescope", F.col("policy")).otherwise(F.col("v"))).withColumn("kind", F.explode(F.array("kind", F.lit("all"))))
+    one, two = F.col("first_reader") == "admit", F.col("second") == "admit"
+    return each.groupBy("policy", "kind").agg(F.count("*").alias("n"), F.count_if(F.col("first_reader") == F.col("second")).alias("agree"), F.count_if(one & two).alias("tp"), F.count_if(~one & two).alias("fn"), F.count_if(~one & ~two).alias("tn"), F.count_if(one & ~two).alias("fp"))

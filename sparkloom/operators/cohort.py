@@ -284,3 +284,13 @@ def grid_sensitivity(visits: DataFrame, key: str, periods: Sequence[float], wind
                 row = direct_metrics(kept, key).select(F.lit(float(period)).alias("period"), F.lit(float(offset)).alias("offset"), F.lit(float(window)).alias("window"), "n", "n_direct", "share")
                 out = row if out is None else out.unionByName(row)
     return out
+
+
+def left_merge(base: DataFrame, key: str, parts: Sequence[DataFrame]) -> DataFrame:
+    """``base`` with the columns of each part by key; a part that holds a key twice is refused, so that no row of ``base`` is doubled."""
+    out = base
+    for part in parts:
+        if not part.groupBy(key).count().where("count > 1").isEmpty():
+            raise ValueError(f"a merged table holds a {key} twice")
+        out = out.join(part, key, "left")
+    return out

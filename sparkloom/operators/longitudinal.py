@@ -110,3 +110,11 @@ def direct_share(visits: DataFrame, key: str, t: str, state: str, middle, end) -
     """People who reach ``end``, and those of them who were not seen in ``middle`` before."""
     first = visits.groupBy(key).agg(F.min(F.when(F.col(state) == middle, F.col(t))).alias("m"), F.min(F.when(F.col(state) == end, F.col(t))).alias("e"))
     return first.agg(F.count("e").alias("n_end"), F.count_if(F.col("e").isNotNull() & (F.col("m").isNull() | (F.col("m") >= F.col("e")))).alias("n_direct")).withColumn("share", F.try_divide("n_direct", "n_end"))
+
+
+def state_order(visits: DataFrame, key: str, t: str, state: str, a, b) -> DataFrame:
+    """(key, order): whether a person was seen in ``a`` before ``b``, in ``b`` before ``a``, in one of them or in neither."""
+    first = visits.groupBy(key).agg(F.min(F.when(F.col(state) == a, F.col(t))).alias("_a"), F.min(F.when(F.col(state) == b, F.col(t))).alias("_b"))
+    x, y = F.col("_a"), F.col("_b")
+    order = F.when(x.isNull() & y.isNull(), "neither").when(y.isNull(), "a only").when(x.isNull(), "b only").when(x < y, "a first").when(y < x, "b first").otherwise("same time")
+    return first.select(key, order.alias("order"))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import coded, detect, metrics
 from ..functions.missing import is_missing
-from ..functions.text import let
+from ..functions.text import let, tokens
 from . import ledger_rules, pairs
+from .merge import next_ids
 
 # Architectures that count as deep learning, first and last year of the window.
 DEEP = ("A2", "A3", "A4", "A5", "A7")
@@ -266,3 +267,33 @@ def backfill_families(conflicts: DataFrame, registry: DataFrame, last: int) -> D
     found = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(F.concat_ws("|", "_a", "_b"))
     equal = F.when(F.col("_a") == F.col("_b"), "Yes").otherwise("No")
     return df.withColumns({"modality_family": F.when(own & unknown, found).otherwise(F.col("modality_family")), "family_equal": F.when(own & (F.coalesce("family_equal", F.lit("")) == ""), equal).otherwise(F.col("family_equal"))}).drop("_a", "_b")
+
+
+def append_candidates(gaps: DataFrame, candidates: DataFrame, conflicts: DataFrame, near: float = 0.35) -> DataFrame:
+    """Candidates (order, gap_type, modality, task_type, paper_a, paper_b, gap_statement, closure_criteria, tier) with ``outcome``, the ``match`` they merge into, and an ``id`` where they are new.
+
+    Out of scope, else merged into a known gap (structural ones by modality and task, combinatorial ones by their pair,
+    others by the most similar statement of their tier), else a pair that is a conflict already, else new. Candidates
+    of one structural cell or one pair are merged into the first of them. Statements meet on shared words.
+    """
+    number = lambda c: F.regexp_extract(c, r"(\d+)$", 1).try_cast("int")
+    c = candidates.withColumns({"_scope": F.size(detect.out_of_scope(F.col("gap_statement"), F.col("closure_criteria"))), "_pair": F.array_join(F.array_sort(F.array("paper_a", "paper_b")), "|")})
+    cell, pair = F.col("gap_type").isin("structural_absence", "underrepresentation"), F.col("gap_type") == "combinatorial"
+    key = F.when(cell, F.concat_ws("|", "gap_type", "modality", "task_type")).when(pair, F.concat_ws("|", F.lit("pair"), "_pair"))
+    g = gaps.withColumn("_pair", F.array_join(F.array_sort(F.array("paper_a", "paper_b")), "|")).withColumn("_key", key)
+    exact = g.where("_key is not null").groupBy("_key").agg(F.min_by("id", number("id")).alias("_exact"))
+    c = c.withColumn("_key", key).join(exact, "_key", "left")
+    words = lambda d: d.withColumn("_w", tokens(F.col("gap_statement")))
+    a = words(c.where("_key is null and _scope = 0")).select("order", "tier", F.col("_w").alias("a"), F.explode("_w").alias("w"))
+    b = words(g).select("id", "tier", F.col("_w").alias("b"), F.explode("_w").alias("w"))
+    met = a.join(b, ["tier", "w"]).groupBy("order", "id").agg(F.count("*").alias("n"), F.first(F.size("a")).alias("na"), F.first(F.size("b")).alias("nb"))
+    similar = met.withColumn("s", F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).where(F.col("s") >= near).groupBy("order").agg(F.max_by("id", F.struct("s", -number("id"))).alias("_near"))
+    known = conflicts.select(F.array_join(F.array_sort(F.array("paper_a", "paper_b")), "|").alias("_pair"), F.lit(True).alias("_conflict")).distinct()
+    c = c.join(similar, "order", "left").join(known, "_pair", "left")
+    first = F.min(F.when((F.col("_scope") == 0) & F.col("_exact").isNull() & F.col("_key").isNotNull() & F.col("_conflict").isNull(), F.col("order"))).over(Window.partitionBy("_key"))
+    c = c.withColumn("_first", F.when(F.col("_key").isNotNull(), first))
+    c = c.withColumn("match", F.when(F.col("_scope") == 0, F.coalesce("_exact", "_near")))
+    outcome = F.when(F.col("_scope") > 0, "out of scope").when(F.col("match").isNotNull(), "merged").when(F.coalesce("_conflict", F.lit(False)), "conflict").when(F.col("_first") < F.col("order"), "merged into new").otherwise("new")
+    c = c.withColumn("outcome", outcome)
+    new = next_ids(gaps, c.where("outcome = 'new'").select("order"), "id", "G-CAND-", ["order"])
+    return c.drop("_scope", "_pair", "_key", "_exact", "_near", "_conflict", "_first").join(new, "order", "left")

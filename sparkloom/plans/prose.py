@@ -50,7 +50,10 @@ def q_declared_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         "k", detect.canonical_metric(F.col("best")).alias("metric"), detect.not_reported(F.col("best")).alias("absent"), detect.denies_metric(F.col("best")).alias("denied"), detect.bare_proportion(F.col("best")).alias("bare"),
         detect.modality_label(F.col("modality")).alias("label"), detect.category_label(F.concat(F.lit("C"), (F.col("k") % 8).cast("string"))).alias("category"),
         extraction.without_code(F.concat(F.lit("V"), (F.col("k") % 4 + 1).cast("string"), F.lit(": k-fold"))).alias("plain"), extraction.unique_declared(F.concat_ws(" ", "section", "body"), r"(?i)\b(?:Assigned|Category)\s*[:=]\s*([CV]\d)").alias("unique"),
-        extraction.duplicate_of(F.regexp_replace("body", "paper ", "paper P-")).alias("copy_of"), extraction.first_year(F.col("dated"), 2026).alias("year"),
+        extraction.duplicate_of(F.col("body")).alias("copy_of"), extraction.first_year(F.col("dated"), 2026).alias("year"), extraction.declared_value(F.col("section")).alias("declared"), detect.strip_label(F.col("section")).alias("stripped"),
+        detect.strip_code_prefix(F.concat(F.lit("C"), (F.col("k") % 8 + 1).cast("string"), F.lit(" ("), F.col("modality"), F.lit(" (x)) - "), F.col("opening"))).alias("unprefixed"), extraction.leading_declared(F.col("section"), "C").alias("code"),
+        detect.canonical_design(F.col("title_line")).alias("design"), detect.canonical_metric_type(F.element_at(F.split("best", " "), -1)).alias("type"), detect.xai_declared(F.concat(F.lit("XAI method is "), F.when(F.col("k") % 3 == 0, "Shapley").otherwise("none"), F.lit(". "), F.when(F.col("k") % 4 == 0, "XAI_Method: LIME.").otherwise(""))).alias("xai"),
+        detect.sample_size_prose(F.concat(F.lit("A cohort of "), (F.col("k") % 300).cast("string"), F.when(F.col("k") % 2 == 0, " older adults").otherwise(" years, (n = 41)"))).alias("size"),
     )
 
 
@@ -142,6 +145,12 @@ _M2 = f"regexp_replace(trim(regexp_replace({_M1}, '^C[1-6]\\s*(?:=|-|–|—|:)?
 _CUTS = [rf"^((?:{_PAR}|[^()]){{7,}}?[a-z0-9)\"])[.;](?:\s|$)", rf"^((?:{_PAR}|[^()]){{8,}}?)\s[-–—]\s", rf"^((?:{_PAR}|[^()]){{8,}}?),\s"]
 _CLAUSE = "coalesce(list_sort(list_filter([" + ", ".join(f"regexp_extract(m, {_q(c)}, 1)" for c in _CUTS) + "], lambda v: v <> ''), 'ASC')[1], m)"
 _SENT = "list_filter(regexp_split_to_array(regexp_replace(trim(regexp_replace(evidence, '\\s+', ' ', 'g')), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda v: v <> '')"
+METRIC_SQL = f"""CASE WHEN {_B2} = '' THEN 'not reported' WHEN {_ABSENT} OR {_DENIED} OR upper({_B2}) IN ('NR', 'NONE') THEN 'NR' WHEN {_has(_B2, f'(?i)^(?:{_NAMES})')} THEN {_B2} WHEN {_has(_B2, _TURN)} THEN {_CANON} || ' ' || trim(regexp_extract({_B2}, {_q(_TURN)}, 1)) ELSE {_B2} END"""
+LABEL_SQL = f"""CASE WHEN lower(modality) = 'not reported' THEN NULL WHEN {_has('modality', detect.NO_DATA)} THEN 'none (no primary data)' WHEN m <> '' AND length(trim({_CLAUSE})) BETWEEN 3 AND 80 AND NOT {_has(f'trim({_CLAUSE})', detect.JUSTIFIES)} AND NOT {_has(f'trim({_CLAUSE})', r'(?i)\*\*|\bcodebook\b|\bassignment\b')} THEN trim({_CLAUSE}) END"""
+CONVERSION_SQL = f"""CASE WHEN {_anyof('low', ("pmci", "progressive mci", "stable mci", "smci", "p-mci", "s-mci"))} THEN 'pMCI_vs_sMCI' WHEN contains(low, 'emci') AND {_anyof('low', ("conversion", " to ad"))} THEN 'EMCI_to_AD' WHEN contains(low, 'scd') AND {_anyof('low', ("mci", "progression"))} THEN 'SCD_to_MCI' ELSE 'MCI_to_AD' END"""
+POPULATION_SQL = f"""CASE {' '.join(f"WHEN {_anyof('own', w)} THEN '{n}'" for n, w in detect.POPULATIONS)} ELSE 'general' END"""
+_LAST = "lower(rtrim(string_split(best, ' ')[-1], '.'))"
+_TYPES = f"CASE WHEN {_LAST} = '' THEN NULL WHEN {_LAST} IN ('none', 'nr') THEN 'not reported' WHEN {_LAST} = 'auc' THEN 'AUC_ROC' WHEN {_LAST} = 'acc' THEN 'Acc' WHEN regexp_matches({_LAST}, '^[a-z][a-z0-9_]{{2,60}}$') THEN rtrim(string_split(best, ' ')[-1], '.') END"
 _S = "WITH p AS (" + PROSE.format(orders="orders") + ")"
 
 
@@ -160,7 +169,7 @@ def _excerpt() -> str:
 SQL = {
     "q_design_detect": _S + f", d AS (SELECT k, {_design()} AS design FROM p) SELECT k, design, CASE " + " ".join(f"WHEN {_has('design', pat)} THEN '{n}'" for n, pat in detect.INSTRUMENTS) + " ELSE 'not assigned (design not coded)' END AS instrument FROM d",
     "q_block_detect": _S + f""", l AS (SELECT *, lower(body) AS low, regexp_replace(lower(opening), {_q(detect.EXCLUSION)}, ' ', 'g') AS own FROM p)
-SELECT k, CASE task WHEN 'T2' THEN CASE WHEN {_anyof('low', ("pmci", "progressive mci", "stable mci", "smci", "p-mci", "s-mci"))} THEN 'pMCI_vs_sMCI' WHEN contains(low, 'emci') AND {_anyof('low', ("conversion", " to ad"))} THEN 'EMCI_to_AD' WHEN contains(low, 'scd') AND {_anyof('low', ("mci", "progression"))} THEN 'SCD_to_MCI' ELSE 'MCI_to_AD' END
+SELECT k, CASE task WHEN 'T2' THEN {CONVERSION_SQL}
     WHEN 'T5' THEN 'MCI_reversion' WHEN 'T1' THEN 'MCI_vs_HC' WHEN 'T3' THEN 'multiclass_staging' WHEN 'T4' THEN 'biomarker_correlation' ELSE 'not reported' END AS substage,
   CASE {' '.join(f"WHEN {_anyof('own', w)} THEN '{n}'" for n, w in detect.POPULATIONS)} ELSE 'general' END AS population,
   CASE {' '.join(f"WHEN {' AND '.join(_has('low', x) for x in ps)} THEN '{n}'" for n, ps in detect.SUBTYPE_RULES)} ELSE 'not reported' END AS subtype, {_horizon()} AS horizon, {_metric_type()} AS metric_type,
@@ -170,16 +179,19 @@ SELECT k, CASE task WHEN 'T2' THEN CASE WHEN {_anyof('low', ("pmci", "progressiv
     WHEN len(list_filter(s, lambda v: regexp_matches(v, '(?i)eeg') AND NOT regexp_matches(v, '(?i)\\b(?:no|not|without|lack|lacks|absent|never)\\b'))) > 0 THEN 'eeg' END AS rule
 FROM (SELECT *, string_split(regexp_replace(body, '([.!?;])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS s FROM l)""",
     "q_declared_values": _S + f""", d AS (SELECT *, {_M2} AS m, list_distinct(list_transform(regexp_extract_all(section || ' ' || body, '(?i)\\b(?:Assigned|Category)\\s*[:=]\\s*([CV]\\d)', 1), lambda v: lower(v))) AS u FROM p)
-SELECT k, CASE WHEN {_B2} = '' THEN 'not reported' WHEN {_ABSENT} OR {_DENIED} OR upper({_B2}) IN ('NR', 'NONE') THEN 'NR' WHEN {_has(_B2, f'(?i)^(?:{_NAMES})')} THEN {_B2} WHEN {_has(_B2, _TURN)} THEN {_CANON} || ' ' || trim(regexp_extract({_B2}, {_q(_TURN)}, 1)) ELSE {_B2} END AS metric,
+SELECT k, {METRIC_SQL} AS metric,
   {_ABSENT} AS absent, {_DENIED} AS denied, coalesce(NOT regexp_matches(regexp_extract({_BEST}, '^(\\d+(?:\\.\\d+)?)\\s*(%?)\\s*(.*)$', 3), '^[A-Za-z]') AND CASE WHEN regexp_extract({_BEST}, '^(\\d+(?:\\.\\d+)?)\\s*(%?)\\s*(.*)$', 2) = '%' THEN try_cast(regexp_extract({_BEST}, '^(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) <= 100 ELSE try_cast(nullif(regexp_extract({_BEST}, '^(\\d+(?:\\.\\d+)?)', 1), '') AS DOUBLE) <= 1 END, false) AS bare,
-  CASE WHEN lower(modality) = 'not reported' THEN NULL WHEN {_has('modality', detect.NO_DATA)} THEN 'none (no primary data)' WHEN m <> '' AND length(trim({_CLAUSE})) BETWEEN 3 AND 80 AND NOT {_has(f'trim({_CLAUSE})', detect.JUSTIFIES)} AND NOT {_has(f'trim({_CLAUSE})', r'(?i)\*\*|\bcodebook\b|\bassignment\b')} THEN trim({_CLAUSE}) END AS label,
+  {LABEL_SQL} AS label,
   CASE k % 8 {' '.join(f"WHEN {c[1]} THEN '{v}'" for c, v in detect.CATEGORY_LABELS.items())} ELSE 'not reported' END AS category, 'k-fold' AS plain, CASE WHEN len(u) = 1 THEN u[1] END AS "unique",
-  CASE WHEN k % 9 = 6 THEN 'P-' || (k % 90)::VARCHAR END AS copy_of, CASE k % 5 WHEN 0 THEN (1990 + k % 30)::INT WHEN 1 THEN (2010 + k % 10)::INT WHEN 2 THEN 2003 WHEN 3 THEN 2011 END AS year
+  CASE WHEN k % 9 = 6 THEN 'P-' || (k % 90)::VARCHAR END AS copy_of, CASE k % 5 WHEN 0 THEN (1990 + k % 30)::INT WHEN 1 THEN (2010 + k % 10)::INT WHEN 2 THEN 2003 WHEN 3 THEN 2011 END AS year,
+  CASE WHEN k % 4 <> 2 THEN nullif(rtrim(regexp_extract(section, '[:=]\\s*(.+)', 1), '.'), '') END AS declared, CASE WHEN k % 4 <> 2 THEN 'the stream.' ELSE section END AS stripped,
+  CASE WHEN opening = '' THEN NULL ELSE upper(substr(opening, 1, 1)) || substr(opening, 2) END AS unprefixed, CASE WHEN k % 4 <> 2 AND k % 3 = 0 THEN 'C' || (k % 6 + 1)::VARCHAR END AS code,
+  CASE title_line WHEN 'Viewpoint' THEN 'viewpoint' END AS design, {_TYPES} AS type, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 3 = 0 THEN 'SHAP' ELSE 'none' END AS xai, CASE WHEN k % 2 = 0 THEN (k % 300)::VARCHAR ELSE '41' END AS size
 FROM d""",
     "q_excerpts": _S + f""", e AS (SELECT *, {_SENT} AS s, trim(regexp_replace(evidence, '\\s+', ' ', 'g')) AS clean FROM p),
 f AS (SELECT *, coalesce(list_filter(s, lambda v: {_USABLE})[1], trim(regexp_replace(coalesce(list_filter(s, lambda v: NOT {_lowany(detect.PAGE_HEAD)} AND length(v) >= 30)[1], s[1], clean), '(?i)contents lists available.*$', ''))) AS found FROM e),
 g AS (SELECT *, CASE WHEN clean = '' OR found = '' THEN 'not reported' ELSE found END AS n FROM f)
-SELECT k, CASE WHEN answer <> '' AND NOT {_anyof('lower(answer)', detect.NO_NOVELTY)} THEN answer WHEN length(n) <= 100 THEN n ELSE regexp_replace(substr(n, 1, 100), '\\s+\\S*$', '') END AS novelty, {_excerpt()} AS excerpt,
+SELECT k, CASE WHEN answer <> '' AND NOT {_anyof('lower(answer)', detect.NO_NOVELTY)} THEN answer WHEN length(n) <= 100 THEN n ELSE regexp_replace(regexp_replace(substr(n, 1, 100), '\\s+\\S*$', ''), '[ ,;:\\-]+$', '') END AS novelty, {_excerpt()} AS excerpt,
   coalesce(list_filter(list_transform(string_split(evidence, chr(10)), lambda v: trim(v)), lambda v: length(v) BETWEEN 26 AND 199 AND NOT {_lowany(detect.NO_TITLE)})[1], '') AS title FROM g""",
     "q_auc_provenance": f"""WITH o AS (SELECT o_orderkey AS k, {AUC} AS auc, {AUC_BLOCK} AS block, 'T' || (o_orderkey % 4 + 1)::VARCHAR AS task FROM orders),
 c AS (SELECT k, auc, task, unnest(regexp_split_to_array(trim(line), '\\s*[;|]\\s*|\\.\\s+')) AS clause FROM (SELECT k, auc, task, unnest(string_split(block, chr(10))) AS line FROM o) WHERE regexp_matches(line, '(?i)\\bAUCs?\\b')),

@@ -32,7 +32,7 @@ def q_text_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         "k", text.norm_text(F.col("title")).alias("lowered"), text.norm_title(F.col("title")).alias("title"), text.norm_doi(F.col("doi")).alias("doi"), text.is_doi(text.norm_doi(F.col("doi"))).alias("is_doi"),
         text.plausible_title(F.col("title")).alias("plausible"), text.publisher_id(F.col("path")).alias("publisher_id"), text.basename(F.col("path")).alias("basename"),
-        text.compact(F.col("prose")).alias("compact"), text.truncate_at_word(F.col("prose"), 30).alias("cut"), text.first_words(F.col("prose"), 4).alias("head"), text.subscripts(F.col("title")).alias("subscripts"),
+        text.compact(F.col("prose")).alias("compact"), text.truncate_at_word(F.col("prose"), 30).alias("cut"), text.first_words(F.col("prose"), 4).alias("head"), text.safe_words(F.col("prose"), 5).alias("safe"), text.subscripts(F.col("title")).alias("subscripts"),
         text.corruption(F.col("extract")).alias("corruption"), coded.yes_no(F.col("flag")).alias("yes_no"), coded.truthy(F.col("flag")).alias("truthy"), coded.proportion(F.col("share")).alias("proportion"), coded.percent(F.col("part"), F.col("whole")).alias("percent"),
     )
 
@@ -120,7 +120,7 @@ SQL = {
 SELECT k, lower(trim(title)) AS lowered, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS title, {_D3} AS doi, regexp_matches({_D3}, '^10\\.\\d{{4,9}}/.{{3,}}$') AS is_doi,
   CASE WHEN length(trim(title)) >= 20 AND NOT regexp_matches(trim(title), '(?i)\\.pdf$|^pmid_|^1-s2\\.0-|^\\[stub|^not reported|^\\[non-research') THEN trim(title) END AS plausible,
   CASE WHEN regexp_matches(base, '^1-s2\\.0-S[0-9A-Za-z]+-main\\.pdf$') THEN 'PII:' || regexp_extract(base, '^1-s2\\.0-(S[0-9A-Za-z]+)-main\\.pdf$', 1) WHEN regexp_matches(base, '^PMID_\\d+_') THEN 'PMID:' || regexp_extract(base, '^PMID_(\\d+)_', 1) END AS publisher_id, nullif(base, '') AS basename,
-  {_COMPACT} AS compact, CASE WHEN length({_COMPACT}) <= 30 THEN {_COMPACT} ELSE regexp_replace(substr({_COMPACT}, 1, 30), '\\s+\\S*$', '') END AS cut, array_to_string(string_split({_COMPACT}, ' ')[1:4], ' ') AS head, {_sub('title')} AS subscripts,
+  {_COMPACT} AS compact, CASE WHEN length({_COMPACT}) <= 30 THEN {_COMPACT} ELSE regexp_replace(regexp_replace(substr({_COMPACT}, 1, 30), '\\s+\\S*$', ''), '[ ,;:\\-]+$', '') END AS cut, array_to_string(string_split({_COMPACT}, ' ')[1:4], ' ') AS head, array_to_string(regexp_extract_all(prose, '[A-Za-z0-9\\-]+')[1:5], ' ') AS safe, {_sub('title')} AS subscripts,
   CASE WHEN length(extract) > 0 THEN (length(extract) - length(translate(extract, '�■□', '')))::DOUBLE / length(extract) END AS corruption,
   CASE WHEN lower(trim(flag)) IN ('true', 'yes', '1') THEN 'Yes' WHEN lower(trim(flag)) IN ('false', 'no', '0') THEN 'No' ELSE 'NR' END AS yes_no, CASE WHEN lower(trim(flag)) IN ('true', 'yes', '1') THEN true WHEN lower(trim(flag)) IN ('false', 'no', '0') THEN false END AS truthy,
   CASE WHEN (CASE WHEN share > 1.5 THEN share / 100 ELSE share END) BETWEEN 0 AND 1 THEN CASE WHEN share > 1.5 THEN share / 100 ELSE share END END AS proportion, CASE WHEN whole <> 0 THEN 100.0::DOUBLE * part / whole END AS percent
