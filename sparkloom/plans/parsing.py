@@ -57,18 +57,6 @@ def q_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("sha256"), F.md5("url").alias("md5"))
 
 
-def q_logit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ridge logistic of label < 5 on three embedding dimensions."""
-    e = _t(spark, sf_dir, "embeddings").select((F.col("label") < 5).cast("double").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(3)])
-    return estimators.logistic(e, "y", ["x0", "x1", "x2"])
-
-
-def q_cox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stratified Cox of a priority on the days from order to a finished status."""
-    o = _t(spark, sf_dir, "orders").select((F.datediff("o_orderdate", F.lit("1994-12-31")) % 400 + 1).cast("double").alias("t"), (F.col("o_orderstatus") == "F").cast("int").alias("e"), "o_orderpriority", (F.col("o_totalprice") / 1e5).alias("x"), (F.col("o_custkey") % 3 + 1).cast("double").alias("w"))
-    return estimators.cox(o, "t", "e", ["x"], "o_orderpriority", "w")
-
-
 def q_ctmc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three-state Markov rates of event types, the error state absorbing."""
     from ..operators import longitudinal as lon
@@ -83,7 +71,7 @@ def q_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return estimators.kappa_bootstrap(_t(spark, sf_dir, "labels"), "quality", "toxic")
 
 
-QUERIES = {f.__name__: f for f in (q_enum_parse, q_metric_parse, q_dataset_family, q_section_map, q_json_props, q_title_norm, q_html_leaves, q_digest, q_logit, q_cox, q_ctmc, q_bootstrap)}
+QUERIES = {f.__name__: f for f in (q_enum_parse, q_metric_parse, q_dataset_family, q_section_map, q_json_props, q_title_norm, q_html_leaves, q_digest, q_ctmc, q_bootstrap)}
 
 SQL = {
     "q_dataset_family": """
