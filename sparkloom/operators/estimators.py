@@ -42,34 +42,36 @@ def logistic(df: DataFrame, y: str, xs: Sequence[str], weight: str | None = None
     pen = np.full(p, ridge)
     pen[0] = 0.0
     data = df.select(F.col(y).cast("double").alias("y"), *[F.col(x).cast("double") for x in xs], (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).na.drop().cache()
+    try:
 
-    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        def part(b: pd.DataFrame) -> np.ndarray:
-            x = np.column_stack([np.ones(len(b)), b[list(xs)].to_numpy()])
-            eta, yy, w = x @ beta, b["y"].to_numpy(), b["w"].to_numpy()
-            mu = 1 / (1 + np.exp(-eta))
-            return np.concatenate([[(w * (yy * eta - np.logaddexp(0, eta))).sum()], x.T @ (w * (yy - mu)), ((x * (w * mu * (1 - mu))[:, None]).T @ x).ravel()])
-
-        s = sums(data, part)
-        if not len(s):
-            return 0.0, np.zeros(p), np.zeros((p, p))
-        return s[0] - 0.5 * (pen * beta * beta).sum(), s[1 : p + 1] - pen * beta, s[p + 1 :].reshape(p, p) + np.diag(pen)
-
-    beta = np.zeros(p)
-    value, grad, hess = at(beta)
-    for _ in range(steps):
-        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
-        size = 1.0
-        while True:
-            new = at(beta + size * step)
-            if new[0] >= value - 1e-12 or size < 1e-6:
+        def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            def part(b: pd.DataFrame) -> np.ndarray:
+                x = np.column_stack([np.ones(len(b)), b[list(xs)].to_numpy()])
+                eta, yy, w = x @ beta, b["y"].to_numpy(), b["w"].to_numpy()
+                mu = 1 / (1 + np.exp(-eta))
+                return np.concatenate([[(w * (yy * eta - np.logaddexp(0, eta))).sum()], x.T @ (w * (yy - mu)), ((x * (w * mu * (1 - mu))[:, None]).T @ x).ravel()])
+
+            s = sums(data, part)
+            if not len(s):
+                return 0.0, np.zeros(p), np.zeros((p, p))
+            return s[0] - 0.5 * (pen * beta * beta).sum(), s[1 : p + 1] - pen * beta, s[p + 1 :].reshape(p, p) + np.diag(pen)
+
+        beta = np.zeros(p)
+        value, grad, hess = at(beta)
+        for _ in range(steps):
+            step = np.linalg.lstsq(hess, grad, rcond=None)[0]
+            size = 1.0
+            while True:
+                new = at(beta + size * step)
+                if new[0] >= value - 1e-12 or size < 1e-6:
+                    break
+                size /= 2
+            beta, (value, grad, hess) = beta + size * step, new
+            if np.abs(size * step).max() < 1e-9:
                 break
-            size /= 2
-        beta, (value, grad, hess) = beta + size * step, new
-        if np.abs(size * step).max() < 1e-9:
-            break
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hess)), 0))
-    data.unpersist()
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hess)), 0))
+    finally:
+        data.unpersist()
     return df.sparkSession.createDataFrame([(n, float(b), float(s)) for n, b, s in zip(["intercept", *xs], beta, se, strict=True)], "term string, estimate double, se double")
 
 
@@ -81,45 +83,47 @@ def cox(df: DataFrame, time: str, event: str, xs: Sequence[str], stratum: str |
     """
     p = len(xs)
     rows = df.select(F.col(time).alias("t"), F.col(event).cast("double").alias("e"), *[F.col(x).cast("double").alias(f"x{i}") for i, x in enumerate(xs)], (F.col(stratum) if stratum else F.lit(0)).alias("s"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).cache()
-    order = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-
-    def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
-        r = F.col("w") * F.exp(eta)
-        d = F.col("w") * F.col("e")
-        by = rows.groupBy("s", "t").agg(
-            F.sum(r).alias("s0"), *[F.sum(r * F.col(f"x{i}")).alias(f"a{i}") for i in range(p)], *[F.sum(r * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}_{j}") for i, j in pairs],
-            F.sum(d).alias("d"), F.sum(d * eta).alias("de"), *[F.sum(d * F.col(f"x{i}")).alias(f"d{i}") for i in range(p)],
-        )
-        names = ["s0", *[f"a{i}" for i in range(p)], *[f"b{i}_{j}" for i, j in pairs]]
-        run = by.select("d", "de", *[f"d{i}" for i in range(p)], *[F.sum(n).over(order).alias(n) for n in names]).where("d > 0")
-        mean = lambda i: F.col(f"a{i}") / F.col("s0")
-        out = run.agg(
-            F.sum(F.col("de") - F.col("d") * F.ln("s0")), *[F.sum(F.col(f"d{i}") - F.col("d") * mean(i)) for i in range(p)],
-            *[F.sum(F.col("d") * (F.col(f"b{i}_{j}") / F.col("s0") - mean(i) * mean(j))) for i, j in pairs],
-        ).first()
-        v = [float(x or 0.0) for x in out]
-        hess = np.zeros((p, p))
-        for (i, j), h in zip(pairs, v[p + 1 :], strict=True):
-            hess[i, j] = hess[j, i] = h
-        return v[0], np.array(v[1 : p + 1]), hess
-
-    beta = np.zeros(p)
-    value, grad, hess = at(beta)
-    for _ in range(steps):
-        step = np.linalg.lstsq(hess, grad, rcond=None)[0]
-        size = 1.0
-        while True:
-            new = at(beta + size * step)
-            if new[0] >= value - 1e-10 or size < 1e-6:
+    try:
+        order = Window.partitionBy("s").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        pairs = [(i, j) for i in range(p) for j in range(i, p)]
+
+        def at(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+            eta = sum((F.lit(float(b)) * F.col(f"x{i}") for i, b in enumerate(beta)), F.lit(0.0))
+            r = F.col("w") * F.exp(eta)
+            d = F.col("w") * F.col("e")
+            by = rows.groupBy("s", "t").agg(
+                F.sum(r).alias("s0"), *[F.sum(r * F.col(f"x{i}")).alias(f"a{i}") for i in range(p)], *[F.sum(r * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"b{i}_{j}") for i, j in pairs],
+                F.sum(d).alias("d"), F.sum(d * eta).alias("de"), *[F.sum(d * F.col(f"x{i}")).alias(f"d{i}") for i in range(p)],
+            )
+            names = ["s0", *[f"a{i}" for i in range(p)], *[f"b{i}_{j}" for i, j in pairs]]
+            run = by.select("d", "de", *[f"d{i}" for i in range(p)], *[F.sum(n).over(order).alias(n) for n in names]).where("d > 0")
+            mean = lambda i: F.col(f"a{i}") / F.col("s0")
+            out = run.agg(
+                F.sum(F.col("de") - F.col("d") * F.ln("s0")), *[F.sum(F.col(f"d{i}") - F.col("d") * mean(i)) for i in range(p)],
+                *[F.sum(F.col("d") * (F.col(f"b{i}_{j}") / F.col("s0") - mean(i) * mean(j))) for i, j in pairs],
+            ).first()
+            v = [float(x or 0.0) for x in out]
+            hess = np.zeros((p, p))
+            for (i, j), h in zip(pairs, v[p + 1 :], strict=True):
+                hess[i, j] = hess[j, i] = h
+            return v[0], np.array(v[1 : p + 1]), hess
+
+        beta = np.zeros(p)
+        value, grad, hess = at(beta)
+        for _ in range(steps):
+            step = np.linalg.lstsq(hess, grad, rcond=None)[0]
+            size = 1.0
+            while True:
+                new = at(beta + size * step)
+                if new[0] >= value - 1e-10 or size < 1e-6:
+                    break
+                size /= 2
+            beta, (value, grad, hess) = beta + size * step, new
+            if np.abs(size * step).max() < 1e-9:
                 break
-            size /= 2
-        beta, (value, grad, hess) = beta + size * step, new
-        if np.abs(size * step).max() < 1e-9:
-            break
-    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hess)), 0))
-    rows.unpersist()
+        se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hess)), 0))
+    finally:
+        rows.unpersist()
     return df.sparkSession.createDataFrame([(n, float(b), float(s), math.exp(b)) for n, b, s in zip(xs, beta, se, strict=True)], "term string, estimate double, se double, hazard_ratio double")
 
 
@@ -181,7 +185,7 @@ def _climb(values, xs: np.ndarray, low: np.ndarray, high: np.ndarray, steps: int
         got = got.reshape(len(on), 12) if len(got) else np.zeros((len(on), 12))
         for k, o in enumerate(on):
             m = int(np.argmax(got[k]))
-            if got[k, m] <= value[o] + 1e-8 * max(1, abs(value[o])):
+            if got[k, m] <= value[o] + 1e-10 * max(1, abs(value[o])):
                 live[o] = False
             else:
                 xs[o], value[o] = moves[k, m], got[k, m]

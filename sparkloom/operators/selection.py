@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,18 +17,26 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 
 
 def greedy_select(df: DataFrame, key: str, order: str, tokens: str, most: int = 12, near: float = 0.85) -> DataFrame:
-    """Per key, rows in order while fewer than ``most`` are kept, without those whose tokens are near a kept row's of the same key."""
-
-    def pick(rows: pd.DataFrame) -> pd.DataFrame:
-        kept, out = [], []
-        for i, own in zip(rows.sort_values(order).index, rows.sort_values(order)[tokens], strict=True):
-            own = set(own)
-            if len(out) < most and all(len(own & x) < near * max(1, len(own | x)) or not own or not x for x in kept):
-                kept.append(own)
-                out.append(i)
-        return rows.loc[out]
-
-    return df.groupBy(key).applyInPandas(pick, df.schema)
+    """Per key, rows in order while fewer than ``most`` are kept, without those whose tokens are near a kept row's of the same key.
+
+    A key's rows come sorted through one task, batch by batch; what is held at a time is a batch and the kept rows' tokens.
+    """
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = object(), []
+        for rows in batches:
+            out = []
+            for i, (k, own) in enumerate(zip(rows[key], rows[tokens], strict=True)):
+                if k != last and not (pd.isna(k) and pd.isna(last)):
+                    last, kept = k, []
+                if len(kept) < most:
+                    own = set(own)
+                    if all(len(own & x) < near * max(1, len(own | x)) or not own or not x for x in kept):
+                        kept.append(own)
+                        out.append(i)
+            yield rows.iloc[out]
+
+    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(pick, df.schema)
 
 
 def best_match(statements: DataFrame, known: DataFrame, block: str, tokens: str, order: str, least: float = 0.35) -> DataFrame:

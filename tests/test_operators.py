@@ -141,3 +141,33 @@ def test_selection_weights_mean_one(spark):
     df = spark.createDataFrame([(i, (i % 7 + 1) / 10, i % 3 > 0) for i in range(90)], "i int, p double, sel boolean")
     w = estimators.selection_weights(df, "p", "sel")
     assert w.agg(F.avg("weight")).first()[0] == pytest.approx(1.0)
+
+
+def test_boundary_fits(spark):
+    """Panels of a known generator without a direct rate: the three parameterisations agree, and the free one finds the zero."""
+    rates, rows = np.array([0.2, 0.0, 0.3, 0.15]), []
+    for dt in (0.5, 1.0, 2.0):
+        p = estimators.transition(rates, np.array([dt]))[0]
+        rows += [(dt, i + 1, j + 1, float(round(1e5 * p[i, j], 6))) for i in range(2) for j in range(3)]
+    fits = {r["mode"]: r for r in estimators.ctmc_boundary(spark.createDataFrame(rows, "dt double, s0 int, s1 int, n double")).collect()}
+    for r in fits.values():
+        assert abs(r["r12"] - 0.2) < 2e-3 and abs(r["r21"] - 0.3) < 2e-3 and abs(r["r23"] - 0.15) < 2e-3 and r["r13"] < 1e-3
+        assert abs(r["to_first"] - estimators.transition(rates, np.array([4.0]))[0][1, 0]) < 2e-3
+    assert fits["fixed_zero"]["r13"] == 0 and fits["free_nonnegative"]["loglik"] >= fits["fixed_zero"]["loglik"] - 1e-3
+
+
+def test_greedy_keeps_no_group_in_memory(spark):
+    rows = [(k % 2, i, [f"w{i // 2}", "x"]) for i, k in enumerate(range(400))]
+    df = spark.createDataFrame(rows, "key int, o int, tokens array<string>").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = sorted((r.key, r.o) for r in selection.greedy_select(df, "key", "o", "tokens", 3, 0.9).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(0, 0), (0, 2), (0, 4), (1, 1), (1, 3), (1, 5)]
+
+
+def test_numbering_follows_the_order(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(9)
+    assert [r.v for r in merge.numbered(df, ["v"]).orderBy("number").collect()] == sorted(i * 7919 % 5003 for i in range(5000))
+    assert merge.numbered(df.limit(0), ["v"]).count() == 0
