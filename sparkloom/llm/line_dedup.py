@@ -1,7 +1,9 @@
 """Operator 5: line dedup by a segment-partition edit join.
 
 Lines are the parts of a text between newlines. Two lines of ``MIN_BYTES`` UTF-8 bytes or more are
-near if at most ``EDITS`` byte edits lead from one to the other; shorter lines only if equal.
+near if at most ``EDITS`` byte edits lead from one to the other; shorter lines only if equal, as two
+edits in a few words often make another sentence. Edits count bytes, not characters: a changed
+character beyond ASCII is two to four of them, so such lines must be closer.
 Of each class of lines that are linked by equality or nearness, by any chain, the first line
 stays, by (doc_id, line number); blank lines stay all.
 

@@ -2,7 +2,7 @@
 
 Every source asks for its weight's part of the total; a source is clamped at ``epochs`` times
 its size, and what it leaves is shared out again by weight until no source is above its cap.
-With the sources in order of cap / weight that level is found by one pass of running sums.
+The level is found in rounds of sums over the sources.
 A document is then repeated floor(target / size of source) times, and the rest of the target
 is met by one more repetition of the first documents in a seeded order (by MD5 of seed and
 doc_id): those whose middle lies within the rest, so a source misses its target by at most
@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.merge import numbered
 from .common import BROADCAST_ROWS, few, saved, table, word_count
 
 WEIGHTS, EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
@@ -28,15 +29,25 @@ BUCKET = 3
 
 
 def targets(sources: DataFrame, weights: Sequence[int], epochs: int) -> DataFrame:
-    """``sources`` (source, source_size) with ``target``. One row per source: the windows run over sources, never documents."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(by_name) - 1) % len(weights) + 1
-    rows = sources.withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), nth)).withColumn("cap", F.lit(epochs) * F.col("source_size"))
-    order = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, after, every = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing), Window.partitionBy()
-    rows = rows.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))).cast("double") / F.sum("w").over(after))
-    rows = rows.withColumn("level", F.min(F.when(F.col("cap") / F.col("w") > F.col("level"), F.struct(F.col("cap") / F.col("w"), "level"))).over(every)["level"])
-    return rows.select("source", "source_size", F.coalesce(F.least(F.col("cap").cast("double"), F.col("w") * F.col("level")), F.col("cap").cast("double")).alias("target"))
+    """``sources`` (source, source_size) with ``target``.
+
+    Rounds of water-filling, each one sum over the sources: what is clamped at its cap leaves the level, and the rest is
+    shared out again by weight until none is above its cap. The level alone reaches the driver; sources are numbered
+    by ranges, so that any number of them will do.
+    """
+    nth = (F.col("_nth") - 1) % len(weights) + 1
+    rows = numbered(sources, [F.col("source").asc_nulls_last()], "_nth").withColumn("w", F.element_at(F.array(*[F.lit(w) for w in weights]), nth.cast("int"))).withColumn("cap", F.lit(epochs) * F.col("source_size"))
+    rows = saved(rows.drop("_nth"), "mix-sources")
+    level, before = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.col("cap") / F.col("w") <= F.lit(level)
+        r = rows.agg(F.count_if(full).alias("n"), (F.sum("source_size") - F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0))).cast("double").alias("rest"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        if r["n"] == before or not r["w"]:
+            level = None if not r["w"] else level
+            break
+        level, before = r["rest"] / r["w"], r["n"]
+    cap = F.col("cap").cast("double")
+    return rows.select("source", "source_size", (cap if level is None else F.least(cap, F.col("w") * F.lit(level))).alias("target"))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, size: Column | None = None, keep: Sequence[str] = ("doc_id",)) -> DataFrame:

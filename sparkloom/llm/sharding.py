@@ -12,7 +12,8 @@ goes first, each to the shard where the dot product of its shares with the shard
 capacity is highest. The law is ``bytes``: shards are near equal in bytes.
 
 Slots count a shard's rows without gaps: the parcels' row counts give each parcel its first slot,
-and rows are ranked within their parcel.
+and rows are ranked within their parcel, in parts by hash of doc_id and text where a parcel holds more
+than ``RANKED_BYTES``, whose counts give each part its first slot.
 
 Defined cases: a null text has 8 bytes, no tokens and no checksum, and all null texts are one group;
 repeated rows are rows of their own; an empty table gives no rows; other columns are not
@@ -30,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import WORD, saved, table
 
 SHARDS, PARTS, ROW_BYTES = 24, 64, 8
+#: Bytes of text that one task ranks; larger parcels are ranked in parts.
+RANKED_BYTES = 256_000_000
 #: Groups of equal text up to this part of a shard stay whole; with larger parcels a shard could no longer be filled evenly.
 HOT = 0.5
 DIMS = ("size", "tokens", "rows")
@@ -90,8 +93,15 @@ def shard(docs: DataFrame, shards: int = SHARDS, parts: int = PARTS, keep: Seque
         plan.append((r["parcel"]["group"], r["parcel"]["part"], s, first[s]))
         first[s] += r["rows"]
     plan = spark.createDataFrame(plan, "p_group bigint, p_part int, shard int, first bigint")
-    rank = F.row_number().over(Window.partitionBy("parcel").orderBy("s_id", "group", *[f"k_{c}" for c in keep if c not in ("doc_id", "text")]))
+    subs = max(1, int(-(-total["size"] // (cells * RANKED_BYTES))))
+    placed = placed.withColumn("sub", F.pmod(F.xxhash64("s_id", "group", F.lit("sub")), F.lit(subs)))
+    rank = F.row_number().over(Window.partitionBy("parcel", "sub").orderBy("s_id", "group", *[f"k_{c}" for c in keep if c not in ("doc_id", "text")]))
     rows = placed.withColumn("rank", rank).join(F.broadcast(plan), F.col("parcel.group").eqNullSafe(F.col("p_group")) & (F.col("parcel.part") == F.col("p_part")))
+    if subs > 1:
+        counts = placed.groupBy("parcel", "sub").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("parcel").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1))
+        counts = saved(counts.select(F.col("parcel.group").alias("c_group"), F.col("parcel.part").alias("c_part"), F.col("sub").alias("c_sub"), F.coalesce(before, F.lit(0)).alias("skip")), "parcel-parts")
+        rows = rows.join(counts, F.col("parcel.group").eqNullSafe(F.col("c_group")) & (F.col("parcel.part") == F.col("c_part")) & (F.col("sub") == F.col("c_sub"))).withColumn("first", F.col("first") + F.col("skip"))
     return rows.select(*[F.col(f"k_{c}").alias(c) for c in keep], "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("rank") - 1).cast("long").alias("slot"))
 
 

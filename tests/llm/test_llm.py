@@ -101,7 +101,9 @@ def test_decontaminate_cases(spark, monkeypatch, broadcast):
 # operator 4
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("ranked", [256_000_000, 400])
+def test_shards(spark, monkeypatch, ranked):
+    monkeypatch.setattr(sharding, "RANKED_BYTES", ranked)
     rng = random.Random(2)
     rows = [(i, "x" * rng.randint(0, 3000)) for i in range(4000)] + [(10_000 + i, "hot text " * 20) for i in range(2500)] + ODD
     got = sharding.shard(spark.createDataFrame(rows, SCHEMA).withColumn("shard", F.lit("clash"))).toPandas()
@@ -210,6 +212,24 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(spark.createDataFrame([], SCHEMA + ", source string")).count() == 0
 
 
+def test_mix_of_many_sources(spark):
+    rng = random.Random(6)
+    sizes = {f"s{i:04d}": rng.choice([0, 1, 5, 1000, 30_000]) for i in range(700)}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame([*sizes.items(), (None, 7)], "source string, source_size bigint"), mixing.WEIGHTS, 3).collect()}
+    order = [*sorted(sizes), None]
+    size = sizes | {None: 7}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(order)}
+    full = set()
+    while True:  # clamp and share out again until none is above its cap
+        level = (sum(size.values()) - sum(3 * size[s] for s in full)) / sum(weight[s] for s in order if s not in full)
+        more = {s for s in order if 3 * size[s] <= weight[s] * level}
+        if more == full:
+            break
+        full = more
+    assert all(got[s] == pytest.approx(3 * size[s] if s in full else weight[s] * level) for s in order)
+    assert sum(got.values()) == pytest.approx(sum(size.values()))
+
+
 # operator 7
 
 
