@@ -99,6 +99,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             k = to
 
 
+def characters(texts: Texts) -> Texts:
+    """The same texts as code points. Texts of a slice that is not valid UTF-8 stay bytes."""
+    try:
+        points = np.frombuffer(texts.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    except UnicodeDecodeError:
+        return Texts(texts.data.astype(np.uint32), texts.at)
+    before = np.append(0, np.cumsum((texts.data & 0xC0) != 0x80))
+    return Texts(points, before[texts.at])
+
+
 def words(texts: Texts) -> Words:
     """Runs of bytes other than white space; hashes as ``Spans`` gives them."""
     inside = np.ones(256, bool)

@@ -1,9 +1,8 @@
 """Operator 5: line dedup by a segment-partition edit join.
 
-Lines are the parts of a text between newlines. Two lines of ``MIN_BYTES`` UTF-8 bytes or more are
-near if at most ``EDITS`` byte edits lead from one to the other; shorter lines only if equal, as two
-edits in a few words often make another sentence. Edits count bytes, not characters: a changed
-character beyond ASCII is two to four of them, so such lines must be closer.
+Lines are the parts of a text between newlines. Two lines of ``MIN_CHARS`` characters (code points) or
+more are near if at most ``EDITS`` edits of a character lead from one to the other; shorter lines
+only if equal, as two edits in a few words often make another sentence.
 Of each class of lines that are linked by equality or nearness, by any chain, the first line
 stays, by (doc_id, line number); blank lines stay all.
 
@@ -32,12 +31,12 @@ from . import kernel, linking
 from .common import release, saved, ship, table
 from .substring_dedup import bucket_count, keyed
 
-EDITS, MIN_BYTES = 2, 32
+EDITS, MIN_CHARS = 2, 32
 BUCKET_BYTES = 30_000_000
 
 
 def lines(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, number, start, end) of every line that is not blank."""
+    """(text, number, start, end) of every line that is not blank, of texts as bytes or as code points."""
     brk = np.flatnonzero(texts.data == 10)
     some = np.flatnonzero(np.diff(texts.at) > 0)
     start = np.sort(np.concatenate([texts.at[:-1][some], brk + 1]))
@@ -46,9 +45,7 @@ def lines(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     # a text that ends in a newline: the empty line after it starts where the next text does
     order = np.argsort(start * 2 + (end > start), kind="stable")
     start, end, text = start[order], end[order], text[order]
-    inside = np.ones(256, bool)
-    inside[list(kernel.SPACES)] = False
-    sums = np.append(0, np.cumsum(inside[texts.data]))
+    sums = np.append(0, np.cumsum((texts.data != 32) & ((texts.data < 9) | (texts.data > 13))))
     own = sums[end] > sums[start]
     before = np.append(0, np.cumsum(texts.data == 10))
     number = before[start] - before[texts.at[text]]
@@ -63,7 +60,7 @@ def probes(spans: kernel.Spans, start: np.ndarray, end: np.ndarray, edits: int,
         own = np.flatnonzero(size - less >= least)
         length = size[own] - less
         short, longer = length // parts, length % parts
-        for i in range(parts):  # the last ``longer`` segments have one byte more
+        for i in range(parts):  # the last ``longer`` segments have one character more
             at = i * short + np.maximum(0, i - (parts - longer))
             wide = short + (i >= parts - longer)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
@@ -75,8 +72,8 @@ def probes(spans: kernel.Spans, start: np.ndarray, end: np.ndarray, edits: int,
     return np.concatenate(of), np.concatenate(keys)
 
 
-def within(a: bytes, b: bytes, edits: int) -> bool:
-    """Whether at most ``edits`` byte edits lead from a to b."""
+def within(a: str, b: str, edits: int) -> bool:
+    """Whether at most ``edits`` edits of a character lead from a to b."""
     if abs(len(a) - len(b)) > edits:
         return False
     at = 0
@@ -84,11 +81,11 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
     while at + 16 <= least and a[at : at + 16] == b[at : at + 16]:
         at += 16
     a, b = a[at:], b[at:]
-    where: dict[int, int] = {}
+    where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k + edits
     full = (1 << 2 * edits + 1) - 1
-    # bit edits + d of state[e]: after j bytes of b, the first j + d bytes of a are reached with e edits
+    # bit edits + d of state[e]: after j characters of b, the first j + d of a are reached with e edits
     state = [((1 << e + 1) - 1) << edits for e in range(edits + 1)]
     size = len(a)
     for j, c in enumerate(b):
@@ -108,9 +105,10 @@ def within(a: bytes, b: bytes, edits: int) -> bool:
 
 def edit_join(payloads: list[bytes], edits: int, least: int, asks: list[bool] | None = None) -> list[int]:
     """For each line, the index of the first of its class of near lines. Compares lines that share a key and are not connected yet."""
-    ends = np.cumsum([len(p) for p in payloads])
-    starts = ends - np.array([len(p) for p in payloads])
-    of, keys = probes(kernel.Spans(np.frombuffer(b"".join(payloads), np.uint8)), starts, ends, edits, least)
+    texts = [p.decode("utf-32-le", "surrogatepass") for p in payloads]
+    ends = np.cumsum([len(t) for t in texts])
+    starts = ends - np.array([len(t) for t in texts])
+    of, keys = probes(kernel.Spans(np.frombuffer(b"".join(payloads), np.uint32)), starts, ends, edits, least)
     order = np.lexsort((of, keys))
     of, keys = of[order], keys[order]
     cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
@@ -123,7 +121,7 @@ def edit_join(payloads: list[bytes], edits: int, least: int, asks: list[bool] |
             for b in own[:x]:
                 if (asks is None or asks[a] or asks[b]) and (a, b) not in seen and parts.find(a) != parts.find(b):
                     seen.add((a, b))
-                    if within(payloads[a], payloads[b], edits):
+                    if within(texts[a], texts[b], edits):
                         parts.union(a, b)
     return [parts.find(k) for k in range(len(payloads))]
 
@@ -132,7 +130,8 @@ def line_table(rows: DataFrame) -> DataFrame:
     """(h, id, tag, line): every line that is not blank, by its hash."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in kernel.slices(batches):
+        for batch, raw in kernel.slices(batches):
+            texts = kernel.characters(raw)
             text, number, start, end = lines(texts)
             h = kernel.Spans(texts.data).hashes(start, end)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(pa.array(text)), batch.column("tag").take(pa.array(text)), pa.array(number.astype(np.int32))], names=["h", "id", "tag", "line"])
@@ -144,7 +143,8 @@ def probable(rows: DataFrame, edits: int, least: int, buckets: int) -> DataFrame
     """(h): lines that share a key with another line."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in kernel.slices(batches):
+        for _, raw in kernel.slices(batches):
+            texts = kernel.characters(raw)
             _, _, start, end = lines(texts)
             spans = kernel.Spans(texts.data)
             h, first = np.unique(spans.hashes(start, end), return_index=True)
@@ -180,7 +180,7 @@ def _with_texts(rows: DataFrame, places: DataFrame) -> DataFrame:
     return rows.join(places, (F.col("id") == F.col("p_id")) & (F.col("tag") == F.col("p_tag")), "left")
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, id_col: str = "doc_id") -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_col: str = "doc_id") -> DataFrame:
     """Per row: id, n_lines (not blank), n_removed, n_near (removed lines that equal no earlier line) and ``kept``, the text left."""
     spark = docs.sparkSession
     ship(spark)
@@ -191,7 +191,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, id_
     release(spark)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in kernel.slices(batches):
+        for batch, raw in kernel.slices(batches):
+            texts = kernel.characters(raw)
             text, number, start, end = lines(texts)
             spans = kernel.Spans(texts.data)
             wanted = batch.column("lines").to_pylist()
@@ -239,7 +240,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_near", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def distance(a: bytes, b: bytes) -> int:
+def distance(a: str, b: str) -> int:
     """Plain dynamic programming; for tests."""
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -249,25 +250,27 @@ def distance(a: bytes, b: bytes) -> int:
     return row[-1]
 
 
-def brute_force(rows: list[tuple[int, str | None]], edits: int = EDITS, least: int = MIN_BYTES) -> list[tuple[int, int, int, int, str]]:
+def brute_force(rows: list[tuple[int, str | None]], edits: int = EDITS, least: int = MIN_CHARS) -> list[tuple[int, int, int, int, str]]:
     """The same by comparing all pairs of distinct lines; for tests."""
     import hashlib
+    from collections import Counter
 
-    docs = [(i, (t or "").encode().split(b"\n") if t is not None else []) for i, t in rows]
-    first: dict[bytes, tuple[int, int]] = {}
+    blank = kernel.SPACES.decode()
+    docs = [(i, t.split("\n") if t is not None else []) for i, t in rows]
+    first: dict[str, tuple[int, int]] = {}
     for i, own in docs:
         for n, x in enumerate(own):
-            if x.strip(kernel.SPACES):
+            if x.strip(blank):
                 first[x] = min(first.get(x, (i, n)), (i, n))
     distinct = sorted(first, key=len)
     parts = linking.Sets(len(distinct))
-    bags = [np.bincount(np.frombuffer(x, np.uint8), minlength=256) for x in distinct]
+    bags = [Counter(x) for x in distinct]
     for b, y in enumerate(distinct):
         for a in range(b - 1, -1, -1):
             x = distinct[a]
             if len(y) - len(x) > edits or len(x) < least:
                 break
-            if np.abs(bags[a] - bags[b]).sum() <= 2 * edits and distance(x, y) <= edits:  # an edit moves two counts at most
+            if (bags[a] - bags[b]).total() + (bags[b] - bags[a]).total() <= 2 * edits and distance(x, y) <= edits:  # an edit moves two counts at most
                 parts.union(a, b)
     lead: dict[int, tuple[int, int]] = {}
     for k, x in enumerate(distinct):
@@ -275,9 +278,9 @@ def brute_force(rows: list[tuple[int, str | None]], edits: int = EDITS, least: i
     of = {x: lead[parts.find(k)] for k, x in enumerate(distinct)}
     out = []
     for i, own in docs:
-        real = [n for n, x in enumerate(own) if x.strip(kernel.SPACES)]
+        real = [n for n, x in enumerate(own) if x.strip(blank)]
         gone = [n for n in real if of[own[n]] != (i, n)]
         near = [n for n in gone if first[own[n]] == (i, n)]
-        kept = b"\n".join(x for n, x in enumerate(own) if n not in set(gone))
-        out.append((i, len(real), len(gone), len(near), hashlib.sha256(kept).hexdigest()))
+        kept = "\n".join(x for n, x in enumerate(own) if n not in set(gone))
+        out.append((i, len(real), len(gone), len(near), hashlib.sha256(kept.encode()).hexdigest()))
     return out
