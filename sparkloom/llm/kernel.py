@@ -142,21 +142,23 @@ def windows(hashes: np.ndarray, n: int) -> np.ndarray:
         have *= 2
 
 
-#: One row: the occurrences of one slice that fall into one bucket. ids, tags, counts: a text each; keys: an occurrence each; steps: places as steps within a text.
+#: One row: the occurrences of one slice that fall into one bucket. ids, tags, counts: a text each; keys: an occurrence each, KEY_BYTES of its eight bytes
+#: (the highest is told by the bucket, all but a few of its bits); steps: places as steps within a text.
+KEY_BYTES = 7
 PACKED = "bucket int, ids binary, tags binary, counts binary, keys binary, steps binary, long_steps binary"
 PACKED_ARROW = pa.schema([("bucket", pa.int32()), *[(x, pa.binary()) for x in ("ids", "tags", "counts", "keys", "steps", "long_steps")]])
 
 
 def pack(ids: np.ndarray, tags: np.ndarray, text: np.ndarray, keys: np.ndarray, place: np.ndarray | None, buckets: int) -> Iterator[dict]:
     """Occurrences, in order of (text, place), dealt into buckets by key. ids and tags name the texts."""
-    bucket = ((keys >> U64(40)) % U64(buckets)).astype(np.uint32)
+    bucket = (((keys >> U64(32)) * U64(buckets)) >> U64(32)).astype(np.uint32)  # by the highest bits
     order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     for b in np.flatnonzero(np.diff(cuts)):
         own = order[cuts[b] : cuts[b + 1]]
         t = text[own]
         new = np.flatnonzero(np.diff(t, prepend=-1))
-        row = {"bucket": int(b), "ids": ids[t[new]].tobytes(), "tags": tags[t[new]].tobytes(), "counts": np.diff(np.append(new, len(t))).astype(np.uint32).tobytes(), "keys": keys[own].tobytes(), "steps": b"", "long_steps": b""}
+        row = {"bucket": int(b), "ids": ids[t[new]].tobytes(), "tags": tags[t[new]].tobytes(), "counts": np.diff(np.append(new, len(t))).astype(np.uint32).tobytes(), "keys": np.ascontiguousarray(keys[own]).view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), "steps": b"", "long_steps": b""}
         if place is not None:
             p = place[own].astype(np.int64)
             step = np.diff(p, prepend=0)
@@ -201,7 +203,10 @@ def unpack(rows: pa.Table) -> Packed:
         place -= np.repeat(place[first] - base, counts)
     else:
         place = np.zeros(0, np.int64)
-    return Packed(get("ids", np.int64), get("tags", np.int64), np.cumsum(counts, dtype=np.int64), get("keys", U64), place)
+    short = get("keys", np.uint8).reshape(-1, KEY_BYTES)
+    keys = np.zeros((len(short), 8), np.uint8)
+    keys[:, :KEY_BYTES] = short
+    return Packed(get("ids", np.int64), get("tags", np.int64), np.cumsum(counts, dtype=np.int64), keys.view(U64).ravel(), place)
 
 
 #: What buckets send back to texts: one row a bucket and destination. a and b: values of each entry.

@@ -1,13 +1,14 @@
 """Operator 7: removal of repeated token windows.
 
 Every window of ``WINDOW`` consecutive words of one document is hashed (Rabin-Karp over word
-hashes, modulo 2^64, mixed). The hashes go, packed as 8-byte keys with one-byte place steps, to
-buckets; there equal keys are counted, the first occurrence by (doc_id, place) stays and the
-places of all others go back to their documents, where overlapping windows merge into
-maximal intervals whose words are removed. Windows are judged on the input alone.
-
-A key is 64 bits wide: among n windows about n^2 / 2^65 pairs collide by chance, under one in a
-thousand runs over 10^8 windows. Texts of one id are told apart by a hash of 64 bits too.
+hashes, modulo 2^64, mixed). The hashes go, packed as 7-byte keys with one-byte place steps, to
+buckets by their highest bits; there equal keys are counted, the first occurrence by (doc_id,
+place) stays and the places of all others go back to their documents, where overlapping windows
+merge into maximal intervals whose words are removed. Windows are judged on the input alone.
+
+A key is 64 bits wide once there are 256 buckets (56 bits and the bucket's number below): among n
+windows about n^2 / 2^65 pairs collide by chance, under one in a thousand runs over 10^8 windows.
+Texts of one id are told apart by a hash of 64 bits too.
 
 A hot window costs no more than others: it is a key in one bucket, whose occurrences are sorted
 as bytes, not grouped as rows; the number of buckets follows the bytes of text.
