@@ -3,16 +3,14 @@
 from __future__ import annotations
 
 import gc
-import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_shipped: set[str] = set()
+from ..session import ship  # noqa: F401  one package file an application
+
 _tables: list[str] = []
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -98,16 +96,3 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are saved: it does so when the driver's JVM has collected them."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python once per application, so that they need no copy of their own."""
-    app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        _shipped.add(app)
-        root = Path(__file__).resolve().parents[1]
-        target = Path(os.path.realpath(tempfile.mkdtemp(prefix="sparkloom-"))) / "sparkloom_code.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for f in sorted(root.rglob("*.py")):
-                out.write(f, f"{root.name}/{f.relative_to(root)}")
-        spark.sparkContext.addPyFile(str(target))

@@ -263,6 +263,7 @@ def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN,
     named = kept.groupBy("node").agg(F.min(me).alias("least")).join(links, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("first"))
     named = named.join(least, "root").select(F.col("node").alias("c_node"), F.col("first").alias("class"))
+    named = saved(named, "classes")  # one row a set: Spark can split a text with very many copies on the other side of the join
     out = found.select("id", "tag", "is_null", "n_shingles", "node").join(named, F.col("node") == F.col("c_node"), "left").withColumn("class", F.coalesce("class", me))
     if names:
         return out.select("id", "tag", (F.col("class") == me).alias("stays"))

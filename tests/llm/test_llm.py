@@ -568,3 +568,9 @@ def test_kernel_words_and_windows():
         k = kernel.windows(h, n)
         first = {tuple(h[i : i + n]): k[i] for i in range(len(k))}
         assert all(first[tuple(h[i : i + n])] == k[i] for i in range(len(k))) and len(set(k.tolist())) == len(first)
+
+
+def test_one_package_file_an_application():
+    from sparkloom import session
+
+    assert common.ship is session.ship
