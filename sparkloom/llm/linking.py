@@ -50,24 +50,29 @@ def _sum(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")), F.lit(0))).first())
 
 
+#: Edges of one file of a step.
+FILE_EDGES = 200_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (src, dst); root is the least node of its component.
 
-    Alternating large-star and small-star steps; each step's edges are saved and never exceed the first's.
-    So are the nodes' least neighbours: then the join to them has one row a node on its one side, and Spark can
-    split a node with very many edges on the other (skew join).
+    Alternating large-star and small-star steps; each step's edges are saved, in files that follow their number, and
+    never exceed the first's. So are the nodes' least neighbours: then the join to them has one row a node on its one
+    side, and Spark can split a node with very many edges on the other (skew join).
     """
     edges = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     edges = saved(edges, "edges")
     before = _sum(edges)
     while before[0]:
+        step = lambda df, tag, n=before[0]: saved(df.coalesce(max(1, -(-n // FILE_EDGES))), tag)
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = saved(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("s"), F.least("src", "m").alias("m")), "least")
+        least = step(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("s"), F.least("src", "m").alias("m")), "least")
         large = both.where("dst > src").join(least, F.col("src") == F.col("s")).select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        large = saved(large, "large-star")
-        least = saved(large.groupBy("src").agg(F.min("dst").alias("m")).withColumnRenamed("src", "s"), "least")
+        large = step(large, "large-star")
+        least = step(large.groupBy("src").agg(F.min("dst").alias("m")).withColumnRenamed("src", "s"), "least")
         small = large.join(least, F.col("src") == F.col("s")).select(F.explode(F.array(F.struct(F.col("dst").alias("src"), F.col("m").alias("dst")), F.struct("src", F.col("m").alias("dst")))).alias("e")).select("e.*")
-        edges = saved(small.where("src <> dst").distinct(), "edges")
+        edges = step(small.where("src <> dst").distinct(), "edges")
         now = _sum(edges)
         if now == before:
             break
