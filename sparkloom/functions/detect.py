@@ -71,18 +71,22 @@ def _design(parts: Column) -> Column:
     return F.coalesce(*tries, F.when(late, F.lit("longitudinal_2point")), F.lit("cross_sectional"))
 
 
+# Stages of the tasks that have one, and the words of conversion stages.
+TASK_STAGES = {"T5": "MCI_reversion", "T1": "MCI_vs_HC", "T3": "multiclass_staging", "T4": "biomarker_correlation"}
+PROGRESSIVE = ("pmci", "progressive mci", "stable mci", "smci", "p-mci", "s-mci")
+
+
 def task_substage(block: Column, task: Column) -> Column:
     """Sub-stage within the coded task, so that a detection paper never gets a conversion stage."""
     low = F.lower(F.coalesce(block, F.lit("")))
     conversion = (
-        F.when(_any(low, ("pmci", "progressive mci", "stable mci", "smci", "p-mci", "s-mci")), "pMCI_vs_sMCI")
+        F.when(_any(low, PROGRESSIVE), "pMCI_vs_sMCI")
         .when(low.contains("emci") & _any(low, ("conversion", " to ad")), "EMCI_to_AD")
         .when(low.contains("scd") & _any(low, ("mci", "progression")), "SCD_to_MCI")
         .otherwise("MCI_to_AD")
     )
-    fixed = {"T5": "MCI_reversion", "T1": "MCI_vs_HC", "T3": "multiclass_staging", "T4": "biomarker_correlation"}
     out = F.when(task == "T2", conversion)
-    for code, stage in fixed.items():
+    for code, stage in TASK_STAGES.items():
         out = out.when(task == code, stage)
     return out.otherwise("not reported")
 

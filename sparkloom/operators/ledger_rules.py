@@ -1,7 +1,7 @@
 """Integrity rules of the five ledgers: conflicts, consensus, invalidated assumptions, gaps and complementary findings.
 
 Every function returns (id, severity, rule), one row a violation, from equi-joins of the ledger with the registry,
-the pairs of papers that are no independent evidence, and the log of gate events. ``lint.tally`` counts them.
+the groups of papers that are no independent evidence, and the log of gate events. ``lint.tally`` counts them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,10 @@ GATES = ("study_design_type", "task_substage", "population_specificity", "modali
 CONFIRMED = r"(?i)confirm|verified|include"
 DELEGATED = r"(?i)delegated|state_file_reconciled|procedural pass|hand-typed|self-adjudicat"
 REVIEWER = r"(?i)operator|human\(?s?\)? review|reviewer"
+DELEGATED_GAP = r"(?i)G5 review \(delegated evaluator\s*2026-08-2[6-9]\)"
+ABSENCE, SAME_COHORT = r"(?i)^corpus-wide absence:.{80,}", r"(?i)\bAND\b.*in the same cohort"
+LIMITATION = r"(?i)\b(single[- ]cent(er|re)|small[- ]sample|no external validation|is cross-sectional)\b"
+TEMPLATE, TEMPLATE_START = r"(?i)^P-\d+ finds ", "Evaluate fused "
 
 
 def low(col: Column | str) -> Column:
@@ -62,7 +66,7 @@ def self_certified(ledger: DataFrame, events: DataFrame, *statuses: str) -> Data
 
 def gap_self_certified(status: Column, marks: Column, note: Column) -> Column:
     """An open gap whose only review is a delegated one in the window, with no other gate mark."""
-    return status.isin("open", "partially_open") & (F.coalesce(marks, F.lit("")) == "") & F.coalesce(note, F.lit("")).rlike(r"(?i)G5 review \(delegated evaluator\s*2026-08-2[6-9]\)")
+    return status.isin("open", "partially_open") & (F.coalesce(marks, F.lit("")) == "") & F.coalesce(note, F.lit("")).rlike(DELEGATED_GAP)
 
 
 def found(df: DataFrame, hard: Mapping[str, Column], soft: Mapping[str, Column]) -> DataFrame:
@@ -84,15 +88,16 @@ def _sides(ledger: DataFrame, registry: DataFrame, columns: tuple[str, ...]) ->
     return ledger
 
 
-def _related(ledger: DataFrame, hard_pairs: DataFrame) -> DataFrame:
-    """``dependent``: whether the papers are a pair that must not be combined. ``hard_pairs`` (a, b), a < b."""
-    pairs = hard_pairs.select(F.col("a").alias("_a"), F.col("b").alias("_b"), F.lit(True).alias("dependent")).distinct()
-    return ledger.join(pairs, (F.least("paper_a", "paper_b") == F.col("_a")) & (F.greatest("paper_a", "paper_b") == F.col("_b")), "left").drop("_a", "_b").withColumn("dependent", F.coalesce("dependent", F.lit(False)))
+def _related(ledger: DataFrame, members: DataFrame) -> DataFrame:
+    """``dependent``: whether both papers are in one group that must not be combined. ``members`` (gid, pid): papers meet in their groups, whose pairs are never written out."""
+    own = members.select("gid", "pid").distinct()
+    met = ledger.select("id", "paper_a", "paper_b").join(own.withColumnRenamed("pid", "paper_a"), "paper_a").join(own.withColumnRenamed("pid", "paper_b"), ["gid", "paper_b"]).where("paper_a <> paper_b")
+    return ledger.join(met.select("id").distinct().withColumn("dependent", F.lit(True)), "id", "left").withColumn("dependent", F.coalesce("dependent", F.lit(False)))
 
 
-def conflict_rules(conflicts: DataFrame, registry: DataFrame, hard_pairs: DataFrame, events: DataFrame) -> DataFrame:
+def conflict_rules(conflicts: DataFrame, registry: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
     """Conflicts (id, paper_a, paper_b, genuine_conflict, genuine, override_reason, g4_reviewed, status, review_status, claim_a, claim_b)."""
-    df = _related(_sides(conflicts, registry, ("Task_Type", "duplicate_of", *GATES)), hard_pairs)
+    df = _related(_sides(conflicts, registry, ("Task_Type", "duplicate_of", *GATES)), members)
     df = self_certified(df, events, "status", "review_status")
     waived = F.coalesce("override_reason", F.lit("")) != ""
     real = genuine("genuine_conflict", "genuine")
@@ -123,7 +128,7 @@ def finding_shown(record_id: Column, manuscript: Column, status: Column, review:
     return (n > 0) & ~held & (m.startswith("include") | (~out & ~(unmarked & (n < 3))))
 
 
-def consensus_rules(findings: DataFrame, support: DataFrame, registry: DataFrame, hard_pairs: DataFrame, flags: DataFrame, events: DataFrame) -> DataFrame:
+def consensus_rules(findings: DataFrame, support: DataFrame, registry: DataFrame, members: DataFrame, flags: DataFrame, events: DataFrame) -> DataFrame:
     """Findings (id, manuscript_status, status, evidence_count, required_design, statement, note) with supporters (id, pid).
 
     Supporters are joined and counted in long form; nothing is gathered by finding but the ids that its note names.
@@ -138,8 +143,9 @@ def consensus_rules(findings: DataFrame, support: DataFrame, registry: DataFrame
     off = ~F.col("req").isin("any", "") & (F.coalesce("design", F.lit("")) != "") & ~F.contains("design", F.col("req")) & ~F.coalesce(longitudinal, F.lit(False))
     copies = _copies_of("copy_of") | F.col("has_copy").isNotNull()
     counts = marked.groupBy("id").agg(F.count("*").alias("n"), F.count_if(off).alias("n_off"), F.count_if(copies).alias("n_copies"), F.count_if(F.col("no_evidence") == 1).alias("n_flagged"))
-    x, y = support.withColumnRenamed("pid", "a"), support.withColumnRenamed("pid", "b")
-    dependent = hard_pairs.select("a", "b").distinct().join(x, "a").join(y, ["id", "b"]).groupBy("id").agg(F.count("*").alias("n_pairs"))
+    grouped = support.join(members.select("gid", "pid").distinct(), "pid")
+    x, y = (grouped.select("id", "gid", F.col("pid").alias(n)) for n in "ab")
+    dependent = x.join(y, ["id", "gid"]).where("a < b").select("id", "a", "b").distinct().groupBy("id").agg(F.count("*").alias("n_pairs"))  # pairs within one finding's supporters
     named = findings.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("note", F.lit("")), F.lit(r"\bP-\d{1,4}\b"), F.lit(0)))).alias("pid"))
     lost = named.join(support.withColumn("_in", F.lit(1)), ["id", "pid"], "left").groupBy("id").agg(F.count("*").alias("n_named"), F.count_if(F.col("_in").isNull()).alias("n_lost"))
     df = self_certified(findings, events, "status", "manuscript_status").join(counts, "id", "left").join(dependent, "id", "left").join(lost, "id", "left").na.fill(0, ["n", "n_off", "n_copies", "n_flagged", "n_pairs", "n_named", "n_lost"])
@@ -190,15 +196,15 @@ def gap_rules(gaps: DataFrame, registry: DataFrame, events: DataFrame) -> DataFr
         "self-certified": F.col("self_certified") | gap_self_certified(state, F.col("gate_marks"), F.col("note")),
     }
     soft = {
-        "statement looks combinatorial": live & (text.rlike(r"(?i)^corpus-wide absence:.{80,}") | text.rlike(r"(?i)\bAND\b.*in the same cohort")),
-        "limitation of a single paper": live & (F.size("claiming") <= 1) & text.rlike(r"(?i)\b(single[- ]cent(er|re)|small[- ]sample|no external validation|is cross-sectional)\b"),
+        "statement looks combinatorial": live & (text.rlike(ABSENCE) | text.rlike(SAME_COHORT)),
+        "limitation of a single paper": live & (F.size("claiming") <= 1) & text.rlike(LIMITATION),
     }
     return found(df, hard, soft)
 
 
-def complementary_rules(findings: DataFrame, registry: DataFrame, hard_pairs: DataFrame, events: DataFrame) -> DataFrame:
+def complementary_rules(findings: DataFrame, registry: DataFrame, members: DataFrame, events: DataFrame) -> DataFrame:
     """Complementary findings (id, status, paper_a, paper_b, combined_insight, clinical_implication)."""
-    df = self_certified(_related(_sides(findings, registry, ("duplicate_of", "task_substage")), hard_pairs), events, "status")
+    df = self_certified(_related(_sides(findings, registry, ("duplicate_of", "task_substage")), members), events, "status")
     confirmed = low("status").contains("confirm")
     hard = {
         "papers not independent": confirmed & F.col("dependent"),
@@ -207,7 +213,7 @@ def complementary_rules(findings: DataFrame, registry: DataFrame, hard_pairs: Da
     }
     soft = {
         "sub-stage missing on both sides": confirmed & missing("a_task_substage") & missing("b_task_substage"),
-        "text from a template": confirmed & (F.coalesce("combined_insight", F.lit("")).rlike(r"(?i)^P-\d+ finds ") | F.coalesce("clinical_implication", F.lit("")).startswith("Evaluate fused ")),
+        "text from a template": confirmed & (F.coalesce("combined_insight", F.lit("")).rlike(TEMPLATE) | F.coalesce("clinical_implication", F.lit("")).startswith(TEMPLATE_START)),
     }
     return found(df, hard, soft)
 

@@ -14,18 +14,23 @@ def hard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.independence_pairs(groups).where("enforcement = 'hard'")
 
 
+def hard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(gid, pid) of the groups that are in force and must not be combined."""
+    return world(spark, sf_dir, "groups").where("enforcement = 'hard' and not retired").select("gid", "pid")
+
+
 def _w(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [world(spark, sf_dir, n) for n in names]
 
 
 def q_lint_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     conflicts, registry, events = _w(spark, sf_dir, "conflicts", "registry", "gate_events")
-    return ledger_rules.conflict_rules(conflicts, registry, hard_pairs(spark, sf_dir), events)
+    return ledger_rules.conflict_rules(conflicts, registry, hard_members(spark, sf_dir), events)
 
 
 def q_lint_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, support, registry, flags, events = _w(spark, sf_dir, "findings", "support", "registry", "flags", "gate_events")
-    return ledger_rules.consensus_rules(findings, support, registry, hard_pairs(spark, sf_dir), flags, events)
+    return ledger_rules.consensus_rules(findings, support, registry, hard_members(spark, sf_dir), flags, events)
 
 
 def q_lint_invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +48,7 @@ def q_lint_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_lint_complementary(spark: SparkSession, sf_dir: str) -> DataFrame:
     findings, registry, events = _w(spark, sf_dir, "complementary", "registry", "gate_events")
-    return ledger_rules.complementary_rules(findings, registry, hard_pairs(spark, sf_dir), events)
+    return ledger_rules.complementary_rules(findings, registry, hard_members(spark, sf_dir), events)
 
 
 def q_tables_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
