@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, ledger_rules
+from ..operators import ledger_rules
 from .world import ctes, world
 
 
-def hard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = world(spark, sf_dir, "groups").groupBy("gid", "enforcement", "retired").agg(F.collect_list("pid").alias("papers"))
-    return evidence.independence_pairs(groups).where("enforcement = 'hard'")
-
-
 def hard_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(gid, pid) of the groups that are in force and must not be combined."""
-    return world(spark, sf_dir, "groups").where("enforcement = 'hard' and not retired").select("gid", "pid")
+    return world(spark, sf_dir, "groups").where("enforcement = 'hard_block' and not retired").select("gid", "pid")
 
 
 def _w(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
@@ -96,7 +91,7 @@ def _found(hard: dict[str, str], soft: dict[str, str], source: str) -> str:
 
 
 _COMMON = r"""
-hp AS (SELECT DISTINCT a.pid AS a, b.pid AS b FROM groups a JOIN groups b ON a.gid = b.gid AND a.pid < b.pid WHERE a.enforcement = 'hard' AND NOT a.retired),
+hp AS (SELECT DISTINCT a.pid AS a, b.pid AS b FROM groups a JOIN groups b ON a.gid = b.gid AND a.pid < b.pid WHERE a.enforcement = 'hard_block' AND NOT a.retired),
 reviewed AS (SELECT DISTINCT unnest(regexp_extract_all(reason, '\b(?:CF|IA|VF|C)-\d+')) AS id FROM gate_events WHERE agent = 'coordinator' AND status = 'passed' AND contains(gate, 'G4')
   AND regexp_matches(reason, '(?i)operator|human\(?s?\)? review|reviewer') AND NOT regexp_matches(reason, '(?i)delegated|state_file_reconciled|procedural pass|hand-typed|self-adjudicat'))"""
 

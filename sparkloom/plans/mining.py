@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import coded, detect, metrics, text
 from ..operators import aggregates, evidence, extraction, graph, lint, merge, pairs, registry_flow, selection
-from .lints import _DEAD, _gaps, hard_pairs
+from .lints import _DEAD, _gaps
 from .reports import _t
 from .texts import _N, _SCOPE, _SUBHITS, _ladder, _nodes, _tok
 from .world import ctes, world
@@ -109,9 +109,14 @@ def q_known_already(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strongest relation of pairs of papers, and the complementary pairs that a hard one does not forbid."""
-    free = evidence.blocked(world(spark, sf_dir, "complementary"), hard_pairs(spark, sf_dir), "paper_a", "paper_b")
-    return free.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("paper_a").alias("n_papers"))
+    """Complementary pairs that no group forbids, by a hard relation or within its scope; and strongest relations by kind."""
+    members = world(spark, sf_dir, "groups").withColumn("scope", F.array("scope"))
+    free = evidence.unblocked(world(spark, sf_dir, "complementary"), members, "paper_a", "paper_b", "combined_insight")
+    out = free.groupBy("status").agg(F.count("*").alias("n"), F.countDistinct("paper_a").alias("n_papers"))
+    small = _t(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.concat(F.lit("S-"), F.col("s_suppkey").cast("string"))).alias("papers"))
+    groups = small.select("papers", F.when(F.col("s_nationkey") % 2 == 0, "hard_block").otherwise("single_source").alias("enforcement"), (F.col("s_nationkey") % 5 == 0).alias("retired"))
+    kinds = evidence.independence_pairs(groups).groupBy(F.col("enforcement").alias("status")).agg(F.count("*").alias("n"), F.countDistinct("a").alias("n_papers"))
+    return out.unionByName(kinds)
 
 
 def q_references(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,8 +266,9 @@ b AS (SELECT n_name AS belief, CASE n_nationkey % 3 WHEN 0 THEN 'any' WHEN 1 THE
 x AS (SELECT belief, pid, scope, nodes, len(list_filter(bw, lambda w: contains(low, w)))::INT AS belief_hits, len(list_filter(sw, lambda w: contains(low, w)))::INT AS signal_hits FROM p, b)
 SELECT belief, pid, belief_hits, signal_hits FROM x WHERE (scope IS NULL OR scope = 'any' OR list_contains(nodes, scope)) AND belief_hits >= 2 AND signal_hits >= 1""",
     "q_independence": ctes("groups", "complementary") + """,
-hp AS (SELECT DISTINCT a.pid AS a, b.pid AS b FROM groups a JOIN groups b ON a.gid = b.gid AND a.pid < b.pid WHERE a.enforcement = 'hard' AND NOT a.retired)
-SELECT status, count(*) AS n, count(DISTINCT paper_a) AS n_papers FROM complementary WHERE NOT EXISTS (SELECT 1 FROM hp WHERE hp.a = least(paper_a, paper_b) AND hp.b = greatest(paper_a, paper_b)) GROUP BY 1""",
+f AS (SELECT status, paper_a FROM complementary c WHERE NOT EXISTS (SELECT 1 FROM groups a JOIN groups b ON a.gid = b.gid AND a.pid <> b.pid WHERE NOT a.retired AND a.pid = c.paper_a AND b.pid = c.paper_b AND (a.enforcement = 'hard_block' OR (a.enforcement = 'scope_limited' AND a.scope <> 'all' AND contains(lower(coalesce(c.combined_insight, '')), lower(a.scope)))))),
+p AS (SELECT 'S-' || a.s_suppkey::VARCHAR AS x, 'S-' || b.s_suppkey::VARCHAR AS y, a.s_nationkey AS n FROM supplier a JOIN supplier b USING (s_nationkey) WHERE 'S-' || a.s_suppkey::VARCHAR < 'S-' || b.s_suppkey::VARCHAR AND s_nationkey % 5 <> 0)
+SELECT status, count(*) AS n, count(DISTINCT paper_a) AS n_papers FROM f GROUP BY 1 UNION ALL SELECT CASE WHEN n % 2 = 0 THEN 'hard_block' ELSE 'single_source' END, count(*), count(DISTINCT x) FROM p GROUP BY 1""",
     "q_references": ctes("registry", "gaps") + f""",
 v AS (SELECT Paper_ID FROM registry WHERE {_SCOPE})
 SELECT 'repaired' AS part, id, CASE WHEN claim1 IN (SELECT Paper_ID FROM v) THEN claim1 ELSE 'UNRESOLVED' END || CASE WHEN claim2 IS NULL THEN '' WHEN claim2 IN (SELECT Paper_ID FROM v) THEN ',' || claim2 ELSE ',UNRESOLVED' END AS refs FROM gaps

@@ -79,7 +79,7 @@ SELECT o_orderkey AS k, 'CF-' || CAST(o_orderkey AS STRING) AS id, CASE o_orderk
   CASE o_orderkey % 5 WHEN 0 THEN 'P-' || CAST(o_custkey + 1 AS STRING) || ' finds a pattern' WHEN 1 THEN 'together they may improve robustness and generalisability of one and the same model in all of the many clinics that were ever asked to join' WHEN 2 THEN 'state and rate are two axes: a low score at baseline does not imply a steep slope, so that each of the two papers tells what the other cannot' END AS combined_insight,
   CASE o_orderkey % 7 WHEN 0 THEN 'Evaluate fused models' ELSE 'earlier screening' END AS clinical_implication
 FROM {orders}""",
-    "groups": "SELECT 'NI-' || CAST(c_nationkey AS STRING) AS gid, 'P-' || CAST(c_custkey + 1 AS STRING) AS pid, CASE c_nationkey % 3 WHEN 0 THEN 'hard' WHEN 1 THEN 'warn' ELSE 'annotate' END AS enforcement, c_nationkey % 7 = 6 AS retired FROM {customer}",
+    "groups": "SELECT 'NI-' || CAST(c_nationkey AS STRING) AS gid, 'P-' || CAST(c_custkey + 1 AS STRING) AS pid, CASE c_nationkey % 3 WHEN 0 THEN 'hard_block' WHEN 1 THEN 'scope_limited' ELSE 'single_source' END AS enforcement, CASE c_nationkey % 2 WHEN 0 THEN 'Pattern' ELSE 'all' END AS scope, c_nationkey % 7 = 6 AS retired FROM {customer}",
     "flags": "SELECT 'P-' || CAST(c_custkey + 1 AS STRING) AS pid, CASE c_custkey % 41 WHEN 0 THEN 'commentary_editorial' WHEN 1 THEN 'not_a_study' WHEN 2 THEN 'overlap' ELSE 'none' END AS flag FROM {customer}",
     "gate_events": """
 SELECT CASE event_id % 3 WHEN 0 THEN 'writer' ELSE 'coordinator' END AS agent, CASE event_type WHEN 'error' THEN 'failed' ELSE 'passed' END AS status, CASE event_id % 4 WHEN 0 THEN 'G5' ELSE 'G4' END AS gate,
