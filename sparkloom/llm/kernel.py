@@ -105,8 +105,13 @@ def characters(texts: Texts) -> Texts:
         points = np.frombuffer(texts.data.tobytes().decode().encode("utf-32-le"), np.uint32)
     except UnicodeDecodeError:
         return Texts(texts.data.astype(np.uint32), texts.at)
-    before = np.append(0, np.cumsum((texts.data & 0xC0) != 0x80))
-    return Texts(points, before[texts.at])
+    if len(points) == len(texts.data):
+        return Texts(points, texts.at)
+    size = np.diff(texts.at)
+    some = np.flatnonzero(size)
+    first = (texts.data & 0xC0) != 0x80
+    size[some] = np.add.reduceat(first, texts.at[:-1][some], dtype=np.int64)
+    return Texts(points, np.append(0, np.cumsum(size)))
 
 
 def words(texts: Texts) -> Words:

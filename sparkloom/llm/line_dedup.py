@@ -45,10 +45,14 @@ def lines(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     # a text that ends in a newline: the empty line after it starts where the next text does
     order = np.argsort(start * 2 + (end > start), kind="stable")
     start, end, text = start[order], end[order], text[order]
-    sums = np.append(0, np.cumsum((texts.data != 32) & ((texts.data < 9) | (texts.data > 13))))
-    own = sums[end] > sums[start]
-    before = np.append(0, np.cumsum(texts.data == 10))
-    number = before[start] - before[texts.at[text]]
+    some = np.flatnonzero(end > start)
+    nine = texts.data.dtype.type(9)  # numbers below it wrap around
+    ink = (texts.data != 32) & (texts.data - nine > 4)
+    own = np.zeros(len(start), bool)
+    if len(some):
+        # each line with its newline, which is no ink, runs up to the next line
+        own[some] = np.logical_or.reduceat(ink, start[some])
+    number = np.searchsorted(brk, start) - np.searchsorted(brk, texts.at[text])
     return text[own], number[own], start[own], end[own]
 
 
@@ -105,10 +109,10 @@ def within(a: str, b: str, edits: int) -> bool:
 
 def edit_join(payloads: list[bytes], edits: int, least: int, asks: list[bool] | None = None) -> list[int]:
     """For each line, the index of the first of its class of near lines. Compares lines that share a key and are not connected yet."""
-    texts = [p.decode("utf-32-le", "surrogatepass") for p in payloads]
+    texts = [p.decode("utf-8", "surrogatepass") for p in payloads]
     ends = np.cumsum([len(t) for t in texts])
     starts = ends - np.array([len(t) for t in texts])
-    of, keys = probes(kernel.Spans(np.frombuffer(b"".join(payloads), np.uint32)), starts, ends, edits, least)
+    of, keys = probes(kernel.Spans(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)), starts, ends, edits, least)
     order = np.lexsort((of, keys))
     of, keys = of[order], keys[order]
     cuts = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), len(keys))
@@ -204,11 +208,14 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_CHARS, id_
             order = np.argsort(of, kind="stable")
             at = np.searchsorted(of[order], np.arange(len(start) + 1))
             tokens = keys[order].view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([texts.data[a:b].tobytes() for a, b in zip(start, end, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens))], names=["node", "payload", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([texts.data[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass") for a, b in zip(start, end, strict=True)], pa.binary()), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens))], names=["node", "payload", "tokens"])
 
-    wanted = firsts.join(likely, "h").select("first.id", "first.tag", "first.line")
-    texts = _with_texts(rows, wanted).where("lines is not null").select("text", "lines").mapInArrow(take, "node bigint, payload binary, tokens array<bigint>")
-    items = saved(texts.dropDuplicates(["node"]), "items")
+    def likely_items() -> DataFrame:  # nothing else holds the texts' shuffle, so that it goes with ``release``
+        wanted = firsts.join(likely, "h").select("first.id", "first.tag", "first.line")
+        texts = _with_texts(rows, wanted).where("lines is not null").select("text", "lines").mapInArrow(take, "node bigint, payload binary, tokens array<bigint>")
+        return saved(texts.dropDuplicates(["node"]), "items")
+
+    items = likely_items()
     release(spark)
     roots = linking.link(items.select("node", "payload"), items.select(F.explode("tokens").alias("token"), "node"), lambda payloads, asks: edit_join(payloads, edits, least, asks))
     near = roots.join(firsts, F.col("node") == F.col("h")).select("node", "root", "first")
