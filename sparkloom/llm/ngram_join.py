@@ -252,8 +252,11 @@ def near_classes(docs: DataFrame, n: int = GRAM, num: int = NUM, den: int = DEN,
                     node.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), batch.column("is_null"), pa.array(size.astype(np.int64)), pa.array(node, pa.int64()), pa.array(first, pa.list_(pa.int64())), pa.array(payload, pa.binary())], schema=SETS)
 
-    joined = rows.join(shared.withColumnsRenamed({"id": "s_id", "tag": "s_tag"}), (F.col("id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
-    found = saved(joined.select("id", "tag", "is_null", "text", "a", "b").mapInArrow(sets, "id bigint, tag bigint, is_null boolean, n_shingles bigint, node bigint, first array<bigint>, payload binary"), "sets")
+    def with_sets() -> DataFrame:  # nothing else holds the texts' shuffle, so that it goes with ``release``
+        joined = rows.join(shared.withColumnsRenamed({"id": "s_id", "tag": "s_tag"}), (F.col("id") == F.col("s_id")) & (F.col("tag") == F.col("s_tag")), "left")
+        return saved(joined.select("id", "tag", "is_null", "text", "a", "b").mapInArrow(sets, "id bigint, tag bigint, is_null boolean, n_shingles bigint, node bigint, first array<bigint>, payload binary"), "sets")
+
+    found = with_sets()
     release(spark)
     kept = found.where("node is not null")
     items = kept.select("node", "payload").dropDuplicates(["node"])
