@@ -83,8 +83,8 @@ def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a search source read until the first empty one, each record with its count of citations from a table."""
     path = shared_path(spark, "pages")
     c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name", F.floor(F.col("c_custkey") / 25).cast("int").alias("page"))
-    c.where("page < 12 or page > 13").groupBy("page").agg(F.to_json(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name")))).alias("value")).write.partitionBy("page").text(f"{path}/found")
-    found = paged.search(spark, f"{path}/found", "c_custkey bigint, c_name string")
+    c.where("page < 12 or page > 13").groupBy("page").agg(F.sort_array(F.collect_list(F.struct("c_custkey", "c_name"))).alias("records")).write.json(f"{path}/found")
+    found = paged.search(spark, f"{path}/found", "c_custkey bigint, c_name string", lines=True)
     counts = _t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("citations"))
     return paged.with_counts(found, counts, "c_custkey", "citations")
 

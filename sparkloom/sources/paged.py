@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def search(spark: SparkSession, path: str, schema: str, page: str = "page") -> DataFrame:
-    """Records of the pages (JSON lists, a folder a page) before the first that is missing or empty: paging stops there, whatever comes later."""
-    raw = spark.read.option("wholetext", True).text(path)
-    pages = raw.select(F.col(page).cast("int").alias(page), F.from_json("value", f"array<struct<{schema_of(schema)}>>").alias("records")).where(F.size("records") > 0)
-    # page n is reached if n + 1 pages up to it exist: one row a page enters the count
+def search(spark: SparkSession, path: str, schema: str, page: str = "page", lines: bool = False) -> DataFrame:
+    """Records of the pages before the first that is missing or empty: paging stops there, whatever comes later.
+
+    Pages are JSON lists, a folder (``page=n``) a page, or with ``lines`` objects of ``page`` and ``records``, one a line: a few
+    files hold any number of pages.
+    """
+    records = f"array<struct<{schema_of(schema)}>>"
+    if lines:
+        raw = spark.read.schema(f"{page} int, records {records}").json(path)
+    else:
+        raw = spark.read.option("wholetext", True).text(path).select(F.col(page).cast("int").alias(page), F.from_json("value", records).alias("records"))
+    pages = raw.where((F.size("records") > 0) & (F.col(page) >= 0))
+    # the first page that is missing follows the least that has no next, or is 0: an equi-join, no pairs of pages
     own = pages.select(F.col(page).alias("_p"))
-    reached = pages.select(page).join(own, F.col("_p") <= F.col(page)).groupBy(page).agg(F.count("*").alias("n")).where(F.col("n") == F.col(page) + 1)
-    return pages.join(reached, page, "left_semi").select(page, F.explode("records").alias("r")).select(page, "r.*")
+    ends = own.unionByName(spark.range(1).select(F.lit(-1).alias("_p"))).join(own.select((F.col("_p") - 1).alias("_p")), "_p", "left_anti")
+    reached = pages.join(F.broadcast(ends.agg(F.min("_p").alias("_last"))), F.col(page) <= F.col("_last"))
+    return reached.select(page, F.explode("records").alias("r")).select(page, "r.*")
 
 
 def schema_of(schema: str) -> str:

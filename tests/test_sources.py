@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.operators import graph, pairs
 from sparkloom.session import ready
-from sparkloom.sources import readers, writers
+from sparkloom.sources import paged, readers, writers
 from sparkloom.streaming import incremental
 
 
@@ -99,3 +99,17 @@ def test_stream_of_new_rows(spark, tmp_path):
     (tmp_path / "in" / "b.json").write_text('{"Paper_ID": "P-3", "n": 3}\n')
     incremental.apply(rows, step, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert sorted((r.Paper_ID, r.double) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("P-1", 2), ("P-2", 4), ("P-3", 6)]
+
+
+def test_paged_search_in_lines_and_folders(spark, tmp_path):
+    pages = [(0, [1, 2]), (1, [3]), (2, [4]), (4, [5])] + [(n, [n]) for n in range(6, 3000)]
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.json").write_text("".join(json.dumps({"page": n, "records": [{"k": k} for k in found]}) + "\n" for n, found in pages))
+    got = paged.search(spark, str(tmp_path / "l"), "k bigint", lines=True)
+    assert sorted((r.page, r.k) for r in got.collect()) == [(0, 1), (0, 2), (1, 3), (2, 4)]
+    for n, found in pages[:5]:
+        for part, k in enumerate(found):  # a page in two files is one page
+            (tmp_path / "f" / f"page={n}").mkdir(parents=True, exist_ok=True)
+            (tmp_path / "f" / f"page={n}" / f"{part}.json").write_text(json.dumps([{"k": k}]))
+    got = paged.search(spark, str(tmp_path / "f"), "k bigint")
+    assert sorted((r.page, r.k) for r in got.collect()) == [(0, 1), (0, 2), (1, 3), (2, 4)]
