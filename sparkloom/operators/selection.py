@@ -40,8 +40,12 @@ def greedy_select(df: DataFrame, key: str, order: str, tokens: str, most: int =
 
 
 def best_match(statements: DataFrame, known: DataFrame, block: str, tokens: str, order: str, least: float = 0.35) -> DataFrame:
-    """For each statement the most similar known record of its block at ``least`` or more; the first by ``order`` on ties."""
-    k = known.select(block, F.col(order).alias("match"), F.col(tokens).alias("_t"))
-    s = statements.join(k, block).withColumn("similarity", jaccard(F.col(tokens), F.col("_t"))).where(F.col("similarity") >= least)
-    w = Window.partitionBy(statements.columns[0]).orderBy(F.desc("similarity"), "match")
-    return s.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_t")
+    """For each statement the most similar known record of its block at ``least`` or more; the first by ``order`` on ties.
+
+    Statements alike and records alike are compared once.
+    """
+    k = known.groupBy(block, F.col(tokens).alias("_t")).agg(F.min(order).alias("match"))
+    s = statements.select(block, tokens).distinct().join(k, block).withColumn("similarity", jaccard(F.col(tokens), F.col("_t"))).where(F.col("similarity") >= least)
+    best = lambda d, *own: d.withColumn("_k", F.row_number().over(Window.partitionBy(*own).orderBy(F.desc("similarity"), F.asc_nulls_last("match")))).where("_k = 1").drop("_k", "_t")
+    found = statements.join(best(s, block, tokens), [block, tokens])
+    return best(found, statements.columns[0]).select(block, *[c for c in statements.columns if c != block], "match", "similarity")

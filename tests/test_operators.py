@@ -140,6 +140,33 @@ def test_complements_of_copies(spark):
     assert none.count() == 0
 
 
+def test_best_match_of_copies(spark):
+    """Statements and records alike are compared once; ties go to the first record, one row a statement."""
+    said = spark.createDataFrame([(i, "b", ["a", "b"] if i % 2 else ["c"]) for i in range(3000)] + [(9000, "b", ["zz"]), (9001, "none", ["a"])], "s int, block string, tokens array<string>")
+    known = spark.createDataFrame([(i, "b", ["a", "b", "d"] if i % 2 else ["c", "d"]) for i in range(7, 3000)], "k int, block string, tokens array<string>")
+    found = selection.best_match(said, known, "block", "tokens", "k")
+    assert {(r.s, r.match, round(r.similarity, 3)) for r in found.collect()} == {(i, 7, 0.667) if i % 2 else (i, 8, 0.5) for i in range(3000)} and found.count() == 3000
+    said, known = said.where("s < 9000"), known.withColumn("k", F.col("k") + 0)
+    assert most_rows(selection.best_match(said, known, "block", "tokens", "k")) < 30_000  # not 3,000 times 2,993
+
+
+def most_rows(df):
+    """The most rows that a join of the query puts out."""
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if "QueryStage" in name:
+            return walk(node.plan())
+        kids = node.children()
+        own = node.metrics().apply("numOutputRows").value() if "Join" in name else 0
+        return max([own, *[walk(kids.apply(i)) for i in range(kids.size())]])
+
+    plan = df._jdf.queryExecution()
+    df._jdf.collectToPython()
+    return walk(plan.executedPlan())
+
+
 def test_greedy_select_is_order_free(spark):
     rows = [("p", 3, ["a", "b"]), ("p", 1, ["a", "b"]), ("p", 2, ["c"]), ("q", 1, [])]
     df = spark.createDataFrame(rows, "k string, o int, t array<string>")
